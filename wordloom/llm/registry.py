@@ -1,9 +1,13 @@
 """The queries of the llm operators, and SQL for those that SQL can express."""
 
-from . import minhash
+from . import minhash, packing, quality, sharding, tokens
 
 QUERIES = {
+    "op2_min_slack_packing": packing.op2,
+    "op3_quality_rules": quality.op3,
     "op4_minhash_near_dedup": minhash.op4,
+    "op7_jump_sharding": sharding.op7,
+    "op8_best_fit_matrices": tokens.op8,
 }
 
 ORACLE_SQL: dict[str, str] = {}
