@@ -129,6 +129,29 @@ def shingles(h: np.ndarray, rows: np.ndarray, n_rows: int, k: int) -> tuple[np.n
     return Rolling(h).ranges(begin, begin + length), n_sh, begin
 
 
+def trimmed(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, where its first word starts and its last word ends (an empty range without words)."""
+    s, e, rows = words(buf, offsets)
+    n = len(offsets) - 1
+    begin, end = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    end[rows] = e  # the last assignment stays
+    begin[rows[::-1]] = s[::-1]
+    return begin, end
+
+
+def char_shingles(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of k consecutive characters within each ascending byte range (all of a
+    shorter one), and the number per range."""
+    first = np.flatnonzero((buf & 0xC0) != 0x80)  # where characters start
+    at, to = np.searchsorted(first, begin), np.searchsorted(first, end)
+    count = np.maximum(to - at, 0)
+    n = np.where(count >= k, count - k + 1, np.minimum(count, 1))
+    char = np.repeat(at, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    first = np.append(first, len(buf))
+    stop = np.minimum(first[char + np.repeat(np.minimum(count, k), n)], np.repeat(end, n))
+    return Rolling(byte_values(buf)).ranges(first[char], stop), n
+
+
 def minhash(x: np.ndarray, counts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """uint32 minima per row (rows without elements: all ones) for each (a, b)."""
     out = np.full((len(counts), len(a)), 0xFFFFFFFF, np.uint32)

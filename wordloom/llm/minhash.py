@@ -1,20 +1,4 @@
-"""Near-duplicate documents: MinHash with tensored banding, exact verification.
-
-Two collections of M half-keys (HALF min-hashes each) are computed per document.
-A table key is a pair (A_i, B_j): M * M tables of 2 * HALF min-hashes come from
-only 2 * M * HALF of them.  At similarity s a pair of texts meets in no table
-with probability below 2 * (1 - s**HALF)**M: 9e-5 at s = 0.8, 4e-6 at 0.85.
-
-1. Texts with equal shingle sets are one class (128-bit digest of the sorted
-   set); only classes take part from here on.
-2. Half-keys held by a single class cannot meet anything; they are dropped
-   before the tables are formed, which leaves unique text with no table rows.
-3. In each table bucket every class is paired with the smallest one (linear in
-   the bucket), the pairs are verified on the full shingle sets, and components
-   are formed.
-4. Buckets that still hold several components: members of different components
-   whose set sizes allow the threshold are verified too.  So a link is found
-   whenever its ends share any bucket or are connected otherwise.
+"""Near-duplicate documents by MinHash with tensored banding (see linking).
 
 Repeat rows are one class.  A null id takes no part in linking: its row has a
 null component and is kept.  A null, empty or blank text has an empty set, is
@@ -24,138 +8,46 @@ text are one node.  Extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .base import connected_components, store, table
-
-HALF, M = 3, 14
-_A, _B = K.permutations(2 * M * HALF, 4)
-
+from . import linking as L
+from .base import store, table
 
-def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row, shingle hashes, number per row) of each chunk."""
-    for i, j in K.chunks(offsets):
-        part, at = K.lower_ascii(buf[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i]
-        s, e, rows = K.words(part, at)
-        x, n, _ = K.shingles(K.word_hashes(part, s, e), rows, j - i, k)
-        yield i, j, x, n
 
-
-def _signatures(k: int):
+def _signatures(shingler: L.Shingler):
     def run(batches):
         for batch in batches:
             buf, off = K.buffer_of(batch.column(1))
             sizes, digests, halves = [], [], []
-            for _, _, x, n in shingle_sets(buf, off, k):
-                low = K.minhash(x, n, _A, _B).reshape(len(n), 2 * M, HALF).astype(np.uint64)
-                key = np.zeros(low.shape[:2], np.uint64)
-                for h in range(HALF):
-                    key = K.mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, :, h] + np.uint64(h + 1))
-                halves.append((key >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                ends = np.cumsum(n)
-                for a, b in zip(ends - n, ends, strict=True):
-                    own = np.unique(x[a:b])
-                    sizes.append(len(own))
-                    digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-            flat = np.concatenate(halves).reshape(-1) if halves else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * (2 * M), pa.array(flat, pa.int32()))
+            for i, j in K.chunks(off):
+                h, n, d = L.signature(*shingler(buf[off[i] : off[j]], off[i : j + 1] - off[i]))
+                halves.append(h)
+                sizes += n
+                digests += d
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists],
-                ["doc_id", "n_shingles", "digest", "halves"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), L.half_lists(halves)],
+                ["doc", "n_shingles", "digest", "halves"],
             )
 
     return run
 
 
-def _verify(k: int, percent: int):
-    def run(batches):
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            sides = []
-            for col in ("text_a", "text_b"):
-                buf, off = K.buffer_of(batch.column(batch.schema.get_field_index(col)))
-                sides.append([])
-                for _, _, x, n in shingle_sets(buf, off, k):
-                    ends = np.cumsum(n)
-                    sides[-1] += [np.unique(x[a:b]) for a, b in zip(ends - n, ends, strict=True)]
-            for i, (x, y) in enumerate(zip(*sides, strict=True)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-            out = batch.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], ["a", "b"])
-
-    return run
-
-
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The (a, b) of `pairs` whose whole shingle sets reach the threshold. texts: (doc_id, text)."""
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verify(k, percent), "a long, b long")
-
-
-def _tables(alive: DataFrame) -> DataFrame:
-    """alive's columns and key: a row for each table in which a class has a bucket that others may share."""
-    own = [c for c in alive.columns if c not in ("a", "b")]
-    rows = alive.select(*own, "b", F.explode("a").alias("x")).select(*own, "x", F.explode("b").alias("y"))
-    return rows.select(F.xxhash64("x.pos", "x.h", "y.pos", "y.h").alias("key"), *own)
-
-
 def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     docs: doc_id long, text string. Links: Jaccard similarity of the sets of k-word
     shingles of at least percent / 100. See the module's text for special rows."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = store(texts.mapInArrow(_signatures(k), "doc_id long, n_shingles long, digest binary, halves array<int>"), "minhash-sig")
-    linked = sig.where("doc_id is not null and n_shingles > 0")
-    # One class per distinct set; its name is its smallest id.
-    classes = store(
-        linked.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves")),
-        "minhash-class",
-    )
-    half = classes.select("doc", F.posexplode("halves").alias("pos", "h"))
-    shared = half.groupBy("pos", "h").count().where("count > 1").select("pos", "h")
-    first, item = F.col("pos") < M, F.struct("pos", "h")
-    alive = half.join(shared, ["pos", "h"]).groupBy("doc").agg(
-        F.collect_list(F.when(first, item)).alias("a"), F.collect_list(F.when(~first, item)).alias("b")
-    )
-    sizes = classes.groupBy("doc").agg(F.max("n").alias("n"))
-    alive = store(alive.where("size(a) > 0 and size(b) > 0").join(sizes, "doc").select("doc", "n", "a", "b"), "minhash-alive")
-
-    rows = _tables(alive).select("key", "doc")
-    low = rows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key", "low")
-    stars = rows.join(low, "key").where("doc <> low").select(F.col("low").alias("a"), F.col("doc").alias("b"))
-    stars = store(stars.distinct(), "minhash-stars")
-    met = stars.select("a").union(stars.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    # The only time whole texts move: those of classes that met another one.
-    named = store(texts.join(met, "doc_id", "left_semi"), "minhash-texts")
-    edges = store(verified(stars, named, k, percent), "minhash-edges")
-
-    label = alive.join(connected_components(edges).withColumnRenamed("node", "doc"), "doc", "left")
-    label = store(label.withColumn("component", F.coalesce("component", "doc")), "minhash-label")
-    rows = _tables(label)
-    mixed = rows.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
-    left = store(rows.join(mixed, "key"), "minhash-mixed")
-    x, y = left.alias("x"), left.alias("y")
-    size_fits = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & size_fits)
-    rest = rest.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    found = store(verified(rest, named, k, percent), "minhash-found")
-    parts = connected_components(edges.unionByName(found))
-    by_class = classes.select("digest", F.col("doc").alias("node")).join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    out = sig.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
-    component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+    shingler = L.word_shingles(k)
+    sig = store(texts.mapInArrow(_signatures(shingler), "doc long, n_shingles long, digest binary, halves array<int>"), "minhash")
+    linked = sig.where("doc is not null and n_shingles > 0")
+    by_class = L.components(linked, lambda met: texts.join(met, "doc", "left_semi"), shingler, percent)
+    out = sig.select("doc", "n_shingles", "digest").join(by_class, "digest", "left")
+    component = F.when(F.col("doc").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc")).otherwise(F.col("component"))
+    out = out.select(F.col("doc").alias("doc_id"), "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

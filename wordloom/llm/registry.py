@@ -1,6 +1,6 @@
 """The queries of the llm operators, and SQL for those that SQL can express."""
 
-from . import minhash, packing, quality, sharding, tokens
+from . import lines, minhash, packing, quality, sharding, tokens
 
 QUERIES = {
     "op2_min_slack_packing": packing.op2,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_minhash_near_dedup": minhash.op4,
     "op7_jump_sharding": sharding.op7,
     "op8_best_fit_matrices": tokens.op8,
+    "op9_fuzzy_lines": lines.op9,
 }
 
 ORACLE_SQL: dict[str, str] = {}
