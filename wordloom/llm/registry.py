@@ -1,14 +1,18 @@
 """The queries of the llm operators, and SQL for those that SQL can express."""
 
-from . import lines, minhash, packing, quality, sharding, tokens
+from . import decontam, licenses, lines, minhash, packing, quality, sharding, tokens
 
 QUERIES = {
     "op2_min_slack_packing": packing.op2,
     "op3_quality_rules": quality.op3,
     "op4_minhash_near_dedup": minhash.op4,
+    "op6_simhash_decontamination": decontam.op6,
     "op7_jump_sharding": sharding.op7,
     "op8_best_fit_matrices": tokens.op8,
     "op9_fuzzy_lines": lines.op9,
+    "op10_license_digests": licenses.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_license_digests": licenses.SQL,
+}
