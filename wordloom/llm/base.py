@@ -23,17 +23,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Rows and bytes of text that an Arrow batch holds; what a Python worker holds at once follows from them.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and rereads it: lineage ends
     there, so a lost executor costs the tasks in flight and nothing earlier."""
-    spark = df.sparkSession
+    spark = tuned(df.sparkSession)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def parts(spark: SparkSession) -> int:

@@ -1,10 +1,16 @@
 """Fuzzy line dedup: of each component of similar lines, the first line stays.
 
 Lines are split at newlines and compared between their first and last word,
-letters A-Z in lower case, by the sets of their CHARS-character shingles
-(see linking); a link needs a Jaccard similarity of 0.8.  Lines of fewer than
-MIN_CHARS characters say too little to be called copies: they stay and are not
-compared.  "First" is by doc_id, null last, then by line number.
+letters A-Z in lower case, by the sets of their CHARS-character shingles; a link
+needs a Jaccard similarity of 0.8.  Lines of fewer than MIN_CHARS characters say
+too little to be called copies: they stay and are not compared.  "First" is by
+doc_id, null last, then by line number.
+
+Lines that are equal in this form are one node, named by a 64-bit hash.  BANDS
+keys of ROWS min-hashes each are computed per node: at similarity 0.8 two nodes
+share none with probability (1 - 0.8**ROWS)**BANDS, 6e-4 (4e-6 at 0.87).  Keys travel packed, a
+block of bytes per part of the key space, and only keys that several nodes share
+become rows; what follows (stars, exact verification, components) is as in linking.
 
 Repeat rows (equal id and text) are one document: the same lines of each go.
 Rows that share an id but not a text are ordered by a hash of the text.  A null,
@@ -13,6 +19,8 @@ empty or blank text has no lines.  Other columns pass through unchanged.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,10 +28,15 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from . import linking as L
-from .base import store, table
+from .base import parts, shared_dir, store, table
 
-CHARS, MIN_CHARS, PERCENT = 5, 20, 80
-_ID = 21  # bytes of a line's name: null flag, doc_id, hash of the text, line number; in this order they sort as lines do
+CHARS, MIN_CHARS, PERCENT = 8, 20, 80
+BANDS, ROWS = 14, 4
+#: Parts of the key space; what a task holds of the keys is its parts' share.
+PARTS = 1024
+_A, _B = K.permutations(BANDS * ROWS, 9)
+_RECORD = np.dtype([("key", "<u4"), ("node", "<i8")])
+_LINE = "node long, doc_id long, text_key long, line int, n_shingles int"
 
 
 def line_offsets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -37,47 +50,75 @@ def line_offsets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.append(pos, len(buf)), row, np.arange(len(row)) - first[row]
 
 
-def _names(doc_ids: pa.Array, keys: np.ndarray, row: np.ndarray, number: np.ndarray) -> pa.Array:
-    missing = doc_ids.is_null().to_numpy(zero_copy_only=False)
-    ids = doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    out = np.zeros((len(row), _ID), np.uint8)
-    out[:, 0] = missing[row] * 255
-    out[:, 1:9] = (ids.view(np.uint64) ^ np.uint64(1 << 63))[row].astype(">u8").view(np.uint8).reshape(-1, 8)
-    out[:, 9:17] = keys.view(np.uint64)[row].astype(">u8").view(np.uint8).reshape(-1, 8)
-    out[:, 17:21] = number.astype(">u4").view(np.uint8).reshape(-1, 4)
-    offsets = np.arange(len(row) + 1, dtype=np.int32) * _ID
-    return pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(out.tobytes())])
-
-
-def _part(name: str, at: int, length: int) -> Column:
-    return F.conv(F.hex(F.substring(name, at, length)), 16, -10).cast("long")
-
-
-def doc_id_of(name: str) -> Column:
-    flipped = _part(name, 2, 8).bitwiseXOR(F.lit(-(1 << 63)))
-    return F.when(F.substring(name, 1, 1) == F.lit(b"\x00"), flipped)
-
-
-def line_of(name: str) -> Column:
-    return _part(name, 18, 4)
-
-
-def _signatures(batches):
-    shingler = L.char_shingles(CHARS)
+def _read(batches):
+    """A row per compared line, and rows of packed (band key, node) records, one per part."""
+    none = lambda n, kind: pa.nulls(n, kind)
     for batch in batches:
         buf, off = K.buffer_of(batch.column(2))
-        keys = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        keys, nodes = [], []
         for i, j in K.chunks(off):
-            part = buf[off[i] : off[j]]
+            part = K.lower_ascii(buf[off[i] : off[j]])
             lines, row, number = line_offsets(part, off[i : j + 1] - off[i])
-            x, n = shingler(part, lines)
+            begin, end = K.trimmed(part, lines)
+            x, n = K.char_shingles(part, begin, end, CHARS)
             long = n >= MIN_CHARS - CHARS + 1
             x, n, row, number = x[np.repeat(long, n)], n[long], row[long], number[long]
-            halves, sizes, digests = L.signature(x, n)
+            node = K.Rolling(K.byte_values(part)).ranges(begin[long], end[long]).view(np.int64)
+            at = pa.array(row + i)
             yield pa.RecordBatch.from_arrays(
-                [_names(batch.column(0).slice(i, j - i), keys[i:j], row, number), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), L.half_lists([halves])],
-                ["doc", "n_shingles", "digest", "halves"],
+                [
+                    pa.array(["line"] * len(n), pa.string()),
+                    none(len(n), pa.int32()),
+                    none(len(n), pa.binary()),
+                    pa.array(node),
+                    batch.column(0).take(at),
+                    batch.column(1).take(at),
+                    pa.array(number.astype(np.int32)),
+                    pa.array(n.astype(np.int32)),
+                ],
+                ["kind", "part", "records", "node", "doc_id", "text_key", "line", "n_shingles"],
             )
+            low = K.minhash(x, n, _A, _B).reshape(-1, BANDS, ROWS).astype(np.uint64)
+            key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), low.shape[:2])
+            for r in range(ROWS):
+                key = K.mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, :, r])
+            keys.append(key)
+            nodes.append(node)
+        if not keys:
+            continue
+        node, once = np.unique(np.concatenate(nodes), return_index=True)
+        key, node = np.concatenate(keys)[once].reshape(-1), np.repeat(node, BANDS)
+        to = (key >> np.uint64(32)) % np.uint64(PARTS)
+        order = np.argsort(to, kind="stable")
+        records = np.zeros(len(key), _RECORD)
+        records["key"], records["node"] = key[order].astype(np.uint32), node[order]
+        edge = np.searchsorted(to[order], np.arange(PARTS + 1, dtype=np.uint64))
+        used = np.flatnonzero(np.diff(edge))
+        packed = [records[edge[p] : edge[p + 1]].tobytes() for p in used]
+        n = len(used)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(["keys"] * n, pa.string()), pa.array(used.astype(np.int32)), pa.array(packed, pa.binary()), *(none(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
+            ["kind", "part", "records", "node", "doc_id", "text_key", "line", "n_shingles"],
+        )
+
+
+def _shared(batches):
+    """(key, node, mates) of the keys that several nodes have; `part` makes a 32-bit key unique enough."""
+    held: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for part, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held.setdefault(part, []).append(records)
+    for part, blobs in held.items():
+        r = np.frombuffer(b"".join(blobs), _RECORD)
+        r = r[np.lexsort((r["node"], r["key"]))]
+        r = r[np.concatenate(([True], (r["key"][1:] != r["key"][:-1]) | (r["node"][1:] != r["node"][:-1])))]
+        new = np.concatenate(([True], r["key"][1:] != r["key"][:-1]))
+        size = np.diff(np.append(np.flatnonzero(new), len(r)))
+        mates = np.repeat(size, size)
+        many = mates > 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(r["key"][many].astype(np.int64) | (part << 32)), pa.array(r["node"][many]), pa.array(mates[many].astype(np.int64))], ["key", "node", "mates"]
+        )
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -85,39 +126,49 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """(doc, n_shingles, component) of every line that is compared; names as _ID says."""
-    rows = _keyed(docs)
-    sig = store(rows.mapInArrow(_signatures, "doc binary, n_shingles long, digest binary, halves array<int>"), "lines")
+    """Every line that is compared: doc_id, text_key, line, n_shingles, and first: the
+    (missing, doc_id, text_key, line) of the line that stays for it."""
+    spark, rows = docs.sparkSession, _keyed(docs)
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    rows.mapInArrow(_read, f"kind string, part int, records binary, {_LINE}").write.partitionBy("kind").parquet(path)
+    schema = f"kind string, part int, records binary, {_LINE}"
+    read = spark.read.schema(schema).parquet(path)
+    lines = read.where("kind = 'line'").select("node", "doc_id", "text_key", "line", "n_shingles")
+    packed = read.where("kind = 'keys'").select("part", "records").repartition(parts(spark), "part")
+    shared = packed.mapInArrow(_shared, "key long, node long, mates long")
+    alive = shared.groupBy("node").agg(F.collect_list("key").alias("a"), F.array(F.lit(0).cast("long")).alias("b"), F.sum("mates").alias("mates"))
+    alive = store(alive.withColumnRenamed("node", "doc"), "lines-alive")
+    name = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key", "line")
 
     def texts_of(met: DataFrame) -> DataFrame:
-        at = F.struct((line_of("doc") + 1).cast("int").alias("n"), "doc")
-        want = met.groupBy(doc_id_of("doc").alias("d"), _part("doc", 10, 8).alias("k")).agg(F.collect_list(at).alias("at"))
-        both = rows.join(want, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
+        where = lines.join(met.withColumnRenamed("doc", "node").hint("merge"), "node", "left_semi").groupBy("node").agg(F.min(name).alias("at"))
+        at = F.struct((F.col("at.line") + 1).alias("n"), "node")
+        want = where.groupBy(F.col("at.doc_id").alias("d"), F.col("at.text_key").alias("k")).agg(F.collect_list(at).alias("at"))
+        both = rows.join(want.hint("merge"), (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
         each = both.select(F.split("text", "\n").alias("lines"), F.explode("at").alias("at"))
-        return each.select("at.doc", F.element_at("lines", F.col("at.n")).alias("text"))
+        return each.select(F.col("at.node").alias("doc"), F.element_at("lines", F.col("at.n")).alias("text"))
+
+    found = L.components(alive, texts_of, L.char_shingles(CHARS), PERCENT, counted=False)
+    lines = lines.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
+    first = lines.groupBy("component").agg(F.min(name).alias("first"))
+    return lines.join(first, "component").drop("component")
+
 
-    by_class = L.components(sig, texts_of, L.char_shingles(CHARS), PERCENT)
-    return sig.select("doc", "n_shingles", "digest").join(by_class, "digest").select("doc", "n_shingles", "component")
+def _stays() -> Column:
+    return F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_key") == F.col("text_key")) & (F.col("first.line") == F.col("line"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, line (from 0), n_shingles, kept, and the line that stays for it: kept_doc_id, kept_line."""
     rows = judged(table(spark, sf_dir, "documents"))
-    return rows.select(
-        doc_id_of("doc").alias("doc_id"),
-        line_of("doc").alias("line"),
-        "n_shingles",
-        (F.col("doc") == F.col("component")).alias("kept"),
-        doc_id_of("component").alias("kept_doc_id"),
-        line_of("component").alias("kept_line"),
-    )
+    return rows.select("doc_id", "line", "n_shingles", _stays().alias("kept"), F.col("first.doc_id").alias("kept_doc_id"), F.col("first.line").alias("kept_line"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs without the lines that copy an earlier one. A document that had words
     and has none left goes; all others stay, with all their columns."""
-    gone = judged(docs).where("doc <> component")
-    gone = gone.groupBy(doc_id_of("doc").alias("_d"), _part("doc", 10, 8).alias("_k")).agg(F.collect_set(line_of("doc").cast("int")).alias("_gone"))
+    gone = judged(docs).where(~_stays())
+    gone = gone.groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(F.collect_set("line").alias("_gone"))
     match = F.col("_k").eqNullSafe(F.xxhash64("text")) & F.col("_d").eqNullSafe(F.col("doc_id").cast("long"))
     both = docs.join(gone, match, "left")
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))

@@ -5,8 +5,7 @@ table key is a pair (A_i, B_j): M * M tables of 2 * HALF min-hashes come from
 only 2 * M * HALF of them.  At similarity s two texts meet in no table with
 probability below 2 * (1 - s**HALF)**M: 9e-5 at s = 0.8, 4e-6 at 0.85.
 
-1. Texts with equal shingle sets are one class (128-bit digest of the sorted
-   set); only classes take part from here on.
+1. Equal texts are one class, and only classes take part.
 2. Half-keys held by a single class cannot meet anything; they are dropped
    before the tables are formed, which leaves unique text with no table rows.
 3. In each table bucket every class is paired with the one that shares most
@@ -14,9 +13,9 @@ probability below 2 * (1 - s**HALF)**M: 9e-5 at s = 0.8, 4e-6 at 0.85.
    text they derive from), the pairs are verified on the full shingle sets, and
    components are formed.
 4. Buckets that still hold several components: members of different components
-   are verified too, as far as two exact bounds on what they can share allow.
-   So a link is found whenever its ends share any bucket or are connected
-   otherwise.
+   are verified too, as far as two exact bounds on what they can share and a
+   sketch allow. So a link is found whenever its ends share any bucket or are
+   connected otherwise.
 """
 
 from __future__ import annotations
@@ -26,13 +25,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
 from .base import connected_components, store
 
 HALF, M = 3, 14
+SKETCH = 256
 _A, _B = K.permutations(2 * M * HALF, 4)
 
 #: From the bytes and offsets of some texts to the shingle hashes of all, and their number per text.
@@ -111,61 +111,95 @@ def _tables(alive: DataFrame) -> DataFrame:
     """alive's columns and key: a row for each table in which a class has a bucket that others may share."""
     own = [c for c in alive.columns if c not in ("a", "b")]
     rows = alive.select(*own, "b", F.explode("a").alias("x")).select(*own, "x", F.explode("b").alias("y"))
-    return rows.select(F.xxhash64("x.pos", "x.h", "y.pos", "y.h").alias("key"), *own)
+    return rows.select(F.xxhash64("x", "y").alias("key"), *own)
 
 
-def _alone(rows: DataFrame, named: DataFrame, shingler: Shingler) -> DataFrame:
-    """(doc, alone): how many shingles of a class no other class of `rows` has."""
+def _bounds(docs: DataFrame, named: DataFrame, shingler: Shingler, counted: bool) -> DataFrame:
+    """(doc, n, sketch, alone) of the classes in `docs`: the size of the set, the low
+    bytes of SKETCH min-hashes, eight to a long, and, if counted, how many shingles no
+    other of them has (a row per shingle is shuffled for it: short texts do without)."""
+    p, q = K.permutations(SKETCH, 5)
+    kind = docs.schema["doc"].dataType.simpleString()
 
-    def run(batches):
+    def sketches(batches):
+        for batch in batches:
+            buf, off = K.buffer_of(batch.column(1))
+            for i, j in K.chunks(off):
+                x, n = shingler(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                low = K.minhash(x, n, p, q).astype(np.uint8).view(np.int64)
+                flat = pa.ListArray.from_arrays(np.arange(j - i + 1, dtype=np.int32) * (SKETCH // 8), pa.array(low.reshape(-1)))
+                ends = np.cumsum(n)
+                size = [len(np.unique(x[a:b])) for a, b in zip(ends - n, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), flat], ["doc", "n", "sketch"])
+
+    def rows(batches):
         for batch in batches:
-            step = range(0, batch.num_rows, 64)
-            for part in (batch.slice(i, 64) for i in step):
+            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
                 own = list(sets_of(part.column(1), shingler))
                 docs = part.column(0).take(pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own])))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), docs], ["h", "doc"])
 
-    kind = rows.schema["doc"].dataType.simpleString()
-    own = named.select("doc", "text").join(rows.select("doc").distinct(), "doc", "left_semi")
-    once = own.mapInArrow(run, f"h long, doc {kind}").groupBy("h").agg(F.count("*").alias("c"), F.min("doc").alias("doc"))
-    return once.where("c = 1").groupBy("doc").agg(F.count("*").alias("alone"))
+    own = store(named.select("doc", "text").join(docs.hint("merge"), "doc", "left_semi"), "link-rest")
+    drawn = own.mapInArrow(sketches, f"doc {kind}, n long, sketch array<long>").groupBy("doc").agg(F.max("n").alias("n"), F.first("sketch").alias("sketch"))
+    if not counted:
+        return drawn.withColumn("alone", F.lit(0).cast("long"))
+    once = own.mapInArrow(rows, f"h long, doc {kind}").groupBy("h").agg(F.count("*").alias("c"), F.min("doc").alias("doc"))
+    alone = once.where("c = 1").groupBy("doc").agg(F.count("*").alias("alone"))
+    return drawn.join(alone, "doc", "left")
+
+
+def _folded(by: int) -> Callable[[Column], Column]:
+    return lambda v: v.bitwiseOR(F.shiftrightunsigned(v, by))
+
 
+def _agreeing() -> Column:
+    """In how many of the SKETCH bytes x.sketch and y.sketch agree."""
+    d = F.zip_with("x.sketch", "y.sketch", lambda a, b: a.bitwiseXOR(b))
+    for by in (4, 2, 1):  # the lowest bit of each byte becomes the union of its bits
+        d = F.transform(d, _folded(by))
+    ones = F.lit(0x0101010101010101)
+    return F.aggregate(d, F.lit(SKETCH), lambda n, v: n - F.bit_count(v.bitwiseAND(ones)).cast("int"))
 
-def _rest(rows: DataFrame, alone: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that share a bucket, lie in different components and may reach the threshold.
 
-    The shingles two sets share are no more than what either shares with anyone,
-    c = n - alone, and a link needs (100 + percent) * shared >= percent * (n + n').
-    So a class with too many shingles of its own drops out with all its rows, and
-    the bound is tested on each pair. Both tests are exact."""
+def _rest(docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that share a table bucket, lie in different components and may reach the threshold.
+
+    docs: (doc, n, a, b, component, sketch, alone). The shingles two sets share are
+    no more than what either shares with anyone, c = n - alone, and a link needs
+    (100 + percent) * shared >= percent * (n + n'). So a class with too many shingles
+    of its own drops out, and the bound is tested on each pair; both tests are exact.
+    Sketches then estimate the similarity: the bar lies four standard deviations
+    below the threshold (3e-5). A pair comes out once, at the first A it shares."""
     c = F.col("n") - F.coalesce("alone", F.lit(0))
-    rows = rows.join(alone, "doc", "left").select("key", "doc", "n", "component", c.alias("c"))
-    rows = rows.where(f"100 * c >= {percent} * n")
+    rows = docs.withColumn("c", c).where(f"100 * c >= {percent} * n").withColumn("key", F.explode("a"))
     x, y = rows.alias("x"), rows.alias("y")
     fits = F.expr(f"{100 + percent} * least(x.c, y.c) >= {percent} * (x.n + y.n)")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & fits)
-    return pairs.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
-
+    s = percent / 100
+    near = _agreeing() >= int(SKETCH * s - 4 * (SKETCH * s * (1 - s)) ** 0.5)
+    first = F.get(F.array_intersect(F.col("x.a"), F.col("y.a")), F.lit(0)) == F.col("x.key")
+    other = F.col("x.component") < F.col("y.component")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & other & fits & first & F.arrays_overlap("x.b", "y.b") & near)
+    return pairs.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
 
-def components(sig: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingler: Shingler, percent: int) -> DataFrame:
-    """(digest, component): the smallest name reachable from the class of each shingle set.
 
-    sig: a stored table (doc, n_shingles, digest, halves) without empty sets; a
-    class is named by its smallest doc. texts_of: from (doc) to (doc, text)."""
-    classes = store(
-        sig.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves")),
-        "link-class",
-    )
+def half_keys(classes: DataFrame) -> DataFrame:
+    """(doc, a, b, mates): the half-keys of each class that other classes have too,
+    and how many there are of them in all. classes: (doc, halves)."""
     half = classes.select("doc", F.posexplode("halves").alias("pos", "h"))
     shared = half.groupBy("pos", "h").count().where("count > 1")
-    first, item = F.col("pos") < M, F.struct("pos", "h")
+    first, item = F.col("pos") < M, F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("h").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     alive = half.join(shared, ["pos", "h"]).groupBy("doc").agg(
         F.collect_list(F.when(first, item)).alias("a"), F.collect_list(F.when(~first, item)).alias("b"), F.sum("count").alias("mates")
     )
-    sizes = classes.groupBy("doc").agg(F.max("n").alias("n"))
-    alive = store(alive.where("size(a) > 0 and size(b) > 0").join(sizes, "doc").select("doc", "n", "a", "b", "mates"), "link-alive")
+    return alive.where("size(a) > 0 and size(b) > 0")
+
+
+def components(alive: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingler: Shingler, percent: int, counted: bool = True) -> DataFrame:
+    """(node, component): the smallest class reachable, for every class with a link.
 
-    rows = _tables(alive.drop("n"))
+    alive: a stored table (doc, a, b, mates); the tables of a class are the pairs
+    of an a and a b. texts_of: from (doc) to (doc, text)."""
+    rows = _tables(alive)
     top = F.max(F.struct("mates", "doc")).alias("top")
     hub = rows.groupBy("key").agg(top, F.count("*").alias("members")).where("members > 1").select("key", F.col("top.doc").alias("hub"))
     stars = rows.select("key", "doc").join(hub, "key").where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
@@ -176,10 +210,11 @@ def components(sig: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shing
     edges = store(verified(stars, named, shingler, percent), "link-edges")
 
     label = alive.drop("mates").join(connected_components(edges).withColumnRenamed("node", "doc"), "doc", "left")
-    rows = _tables(label.withColumn("component", F.coalesce("component", "doc")))
+    label = label.withColumn("component", F.coalesce("component", "doc"))
+    rows = _tables(label)
     mixed = rows.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
-    left = store(rows.join(mixed, "key"), "link-mixed")
-    rest = _rest(left, _alone(left, named, shingler), percent).join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti")
+    docs = store(rows.join(mixed, "key").select("doc").distinct(), "link-mixed")
+    rest = label.join(_bounds(docs, named, shingler, counted), "doc")
+    rest = store(_rest(rest, percent), "link-pairs").join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti")
     found = store(verified(rest, named, shingler, percent), "link-found")
-    parts = connected_components(edges.unionByName(found))
-    return classes.select("digest", F.col("doc").alias("node")).join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    return connected_components(edges.unionByName(found))

@@ -44,7 +44,11 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     shingler = L.word_shingles(k)
     sig = store(texts.mapInArrow(_signatures(shingler), "doc long, n_shingles long, digest binary, halves array<int>"), "minhash")
     linked = sig.where("doc is not null and n_shingles > 0")
-    by_class = L.components(linked, lambda met: texts.join(met, "doc", "left_semi"), shingler, percent)
+    # One class per distinct set (a 128-bit digest of it), named by its smallest id.
+    classes = store(linked.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("halves").alias("halves")), "minhash-class")
+    alive = store(L.half_keys(classes), "minhash-alive")
+    parts = L.components(alive, lambda met: texts.join(met.hint("merge"), "doc", "left_semi"), shingler, percent)
+    by_class = classes.select("digest", F.col("doc").alias("node")).join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = sig.select("doc", "n_shingles", "digest").join(by_class, "digest", "left")
     component = F.when(F.col("doc").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc")).otherwise(F.col("component"))
     out = out.select(F.col("doc").alias("doc_id"), "n_shingles", component.alias("component_id"))
