@@ -1,8 +1,9 @@
 """The queries of the llm operators, and SQL for those that SQL can express."""
 
-from . import decontam, licenses, lines, minhash, packing, quality, sharding, suffix, tokens
+from . import chaining, decontam, licenses, lines, minhash, packing, quality, sharding, suffix, tokens
 
 QUERIES = {
+    "op1_collinear_chains": chaining.op1,
     "op2_min_slack_packing": packing.op2,
     "op3_quality_rules": quality.op3,
     "op4_minhash_near_dedup": minhash.op4,
