@@ -1,5 +1,28 @@
 """Importing this module registers every query of the engine."""
 
-from ..operators import alignment, corpus, reads, state, text
+from __future__ import annotations
 
-MODULES = (reads, state, corpus, text, alignment)
+import os
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import alignment, corpus, intake, reads, state, text
+from .catalog import Query
+
+MODULES = (reads, state, corpus, text, alignment, intake)
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def shipped(query: Query) -> Query:
+    """The query, with this package on the import path of the Python workers, wherever the driver was started."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        environment = spark.sparkContext.environment
+        known = environment.get("PYTHONPATH", "")
+        if ROOT not in known.split(os.pathsep):
+            environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
+        return query(spark, sf_dir)
+
+    run.__doc__, run.__name__ = query.__doc__, getattr(query, "__name__", "run")
+    return run
