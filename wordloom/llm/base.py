@@ -27,18 +27,28 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
+#: Shuffle partitions per file of a stored table, and of one that holds pairs of ids.
+FILES, CONTROL = 4, 16
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     for key, value in BATCH.items():
         spark.conf.set(key, value)
     return spark
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, scanned: bool = False, files: int | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and rereads it: lineage ends
-    there, so a lost executor costs the tasks in flight and nothing earlier."""
+    there, so a lost executor costs the tasks in flight and nothing earlier.
+
+    What comes out of a shuffle (not scanned) holds ids, keys and selected texts,
+    far less than the texts that shuffle partitions are sized for: FILES of them
+    go to a file, which keeps the number of small files down."""
     spark = tuned(df.sparkSession)
+    if not scanned:
+        df = df.coalesce(max(1, parts(spark) // (files or FILES)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,6 +60,18 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _star_round(star: DataFrame) -> DataFrame:
+    """One large-star and one small-star step over edges (u, v) with u > v."""
+    both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # Large star: every larger neighbour of u goes to the smallest of u's closed neighbourhood.
+    large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    # Small star: u and its smaller neighbours go to the smallest of them.
+    small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node with an edge.
 
@@ -62,18 +84,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     star = store(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(),
         "cc-edges",
+        files=CONTROL,
     )
     before = None
     for _ in range(max_rounds):
-        both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # Large star: every larger neighbour of u goes to the smallest of u's closed neighbourhood.
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        # Small star: u and its smaller neighbours go to the smallest of them.
-        small = large.join(small_low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        small = small.unionByName(small_low.select("u", F.col("m").alias("v"))).distinct()
-        star = store(small, "cc-round")
+        star = store(_star_round(star), "cc-round", files=CONTROL)
         mark = star.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if mark == before:
             break

@@ -42,7 +42,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     shingles of at least percent / 100. See the module's text for special rows."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
     shingler = L.word_shingles(k)
-    sig = store(texts.mapInArrow(_signatures(shingler), "doc long, n_shingles long, digest binary, halves array<int>"), "minhash")
+    sig = store(texts.mapInArrow(_signatures(shingler), "doc long, n_shingles long, digest binary, halves array<int>"), "minhash", scanned=True)
     linked = sig.where("doc is not null and n_shingles > 0")
     # One class per distinct set (a 128-bit digest of it), named by its smallest id.
     classes = store(linked.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("halves").alias("halves")), "minhash-class")

@@ -96,7 +96,7 @@ def pieces(docs: DataFrame, capacity: int, vocab: str | None = None) -> DataFram
 def pack(docs: DataFrame, capacity: int = T.CAPACITY, vocab: str | None = None) -> DataFrame:
     """One row per piece of docs: where it lies in its document and in its sequence."""
     spark = docs.sparkSession
-    cut = store(pieces(docs, capacity, vocab), "pack-pieces")
+    cut = store(pieces(docs, capacity, vocab), "pack-pieces", scanned=True)
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
     placed = spark.sparkContext.broadcast(plan(histogram, capacity))  # bounded by capacity, like the histogram
     ranked = numbered(cut, "length", ["doc_id", "start", "ids_crc32"], "_rank")

@@ -101,6 +101,12 @@ def _as_rows(r: dict[str, np.ndarray], pick: np.ndarray, anchor: bool) -> list[p
     return [pa.array(r["doc"][pick]), pa.array(r["tag"][pick].astype(np.int64)), pa.array(r["start"][pick].astype(np.int64)), pa.array(r["windows"][pick].astype(np.int32)), named]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The first byte of every value, then the second of every value, and so on: bytes that
+    are alike stand together, which is what the compression of shuffles and files needs."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes()
+
+
 def _pack(batches):
     """Rows of runs that repeat an earlier one of the batch, and rows of packed runs by part."""
     names = ["part", "records", "d", "tag", "start", "windows", "anchor"]
@@ -125,7 +131,7 @@ def _pack(batches):
         to = r["anchor"] >> np.uint64(54)  # 10 bits: PARTS
         edge = np.searchsorted(to, np.arange(PARTS + 1, dtype=np.uint64))  # runs are in the order of anchors
         used = np.flatnonzero(np.diff(edge))
-        packed = [b"".join(r[name][edge[p] : edge[p + 1]].astype(kind).tobytes() for name, kind in _FIELDS) for p in used]
+        packed = [b"".join(_planes(r[name][edge[p] : edge[p + 1]].astype(kind)) for name, kind in _FIELDS) for p in used]
         n = len(used)
         yield pa.RecordBatch.from_arrays(
             [pa.array(used.astype(np.int32)), pa.array(packed, pa.binary()), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names
@@ -138,8 +144,10 @@ _WIDTH = sum(np.dtype(kind).itemsize for _, kind in _FIELDS)
 def _unpacked(blob: bytes) -> list[np.ndarray]:
     n, at, out = len(blob) // _WIDTH, 0, []
     for _, kind in _FIELDS:
-        out.append(np.frombuffer(blob, kind, n, at))
-        at += n * np.dtype(kind).itemsize
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
+        at += n * size
     return out
 
 
@@ -258,7 +266,7 @@ def cut(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     d, tag = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.pmod(F.xxhash64("text"), F.lit(1 << 32))
     texts = docs.select(d.alias("d"), tag.alias("tag"), "text")
-    packed = store(texts.mapInArrow(_pack, f"part int, records binary, {_RUN}"), "suffix-runs")
+    packed = store(texts.mapInArrow(_pack, f"part int, records binary, {_RUN}"), "suffix-runs", scanned=True)
     dealt = packed.where("part is not null").select("part", "records").repartition(parts(spark), "part")
     decided = store(dealt.mapInArrow(_decide, _RUN), "suffix-decided")
     # Both joins below read the same exchange of (d, tag, text), so whole texts move once.
