@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import forms
+from ..functions import forms, morphology, references
 from ..functions.spelling import Rule, Speller, udf_spelling
 from ..plans.catalog import query
 from ..plans.domain import run_sql
@@ -175,3 +175,44 @@ def t6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t7(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = _documents(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("p"))
     return each.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.max(F.length("p")).cast("long").alias("longest"))
+
+
+@query("f28_dutch_references")
+def f28(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of a made-up apparatus: book, chapter and verses from the verse table, in running text."""
+    return _references(spark, sf_dir, dutch=True)
+
+
+@query("f29_latin_references")
+def f29(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _references(spark, sf_dir, dutch=False)
+
+
+def _references(spark: SparkSession, sf_dir: str, dutch: bool) -> DataFrame:
+    find = references.dutch if dutch else references.latin
+
+    @F.pandas_udf("array<struct<start:int,end:int,code:string>>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [{"start": x.start, "end": x.end, "code": references.encode(list(x.refs))} for x in find(t)], na_action="ignore")
+
+    body = "concat('Zie (Rom. ', chapter, ':', verse % 30 + 1, ', ', verse % 30 + 2, '; 2:3). Voorts 1 Kor. 2:4-6.')" if dutch else "concat('Rom. iii. ', verse % 30 + 1, ' dicit. Ver. 23 omnes; et 1 Cor. 2, 4, 5.')"
+    notes = run_sql(spark, sf_dir, "select book_id, chapter, verse from verses").selectExpr("verse", f"{body} as note")
+    return notes.select("verse", F.posexplode(run("note")).alias("n", "r")).select("verse", "n", "r.start", "r.end", "r.code")
+
+
+@query("f34_greek_morphology")
+def f34(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = spark.createDataFrame([(c,) for c in ("V-2AAI-3S", "V-PAP-NSM", "N-GSF", "P-1GS", "A-NSM-C", "CONJ", "")], "code string")
+    return codes.select("code", forms._series(morphology.greek, "string")("code").alias("label"))
+
+
+@query("f35_hebrew_morphology")
+def f35(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = run_sql(spark, sf_dir, "select distinct morph_code from source_words")
+    return codes.select("morph_code", forms._series(morphology.hebrew, "string")("morph_code").alias("label"))
+
+
+@query("f36_latin_morphology")
+def f36(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = _documents(spark, sf_dir).select("doc_id", F.concat(F.lit("Case=Gen|Number="), F.when(F.col("doc_id") % 2 == 0, "Sing").otherwise("Plur")).alias("features"))
+    return codes.select("doc_id", forms._series(morphology.latin, "string")("features").alias("label"))
