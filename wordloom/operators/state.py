@@ -265,7 +265,7 @@ _register(
 )
 _register(
     "m14_approve",
-    "select i.id, i.word_a_id, i.word_b_id, case when h.hit then 'manual' else i.method end as method, case when h.hit then null else i.confidence end as confidence, case when h.hit then 1.0 end as score from itl i left join (select distinct i.id, true as hit from itl i join (select id from translation_words where book_id = 4) w on w.id = i.word_a_id or w.id = i.word_b_id) h on h.id = i.id",
+    "select i.id, i.word_a_id, i.word_b_id, case when h.hit then 'manual' else i.method end as method, case when h.hit then null else i.confidence end as confidence, case when h.hit then cast(1 as double) end as score from itl i left join (select distinct i.id, true as hit from itl i join (select id from translation_words where book_id = 4) w on w.id = i.word_a_id or w.id = i.word_b_id) h on h.id = i.id",
     lambda s, p: approve(run_sql(s, p, "select * from itl"), run_sql(s, p, "select id from translation_words where book_id = 4")),
 )
 _register(
