@@ -73,7 +73,7 @@ def assign(docs: DataFrame, shards: int) -> DataFrame:
     )
     rows = rows.withColumn("shard", shard_of(shards, "doc_id")).withColumn("grown_shard", shard_of(shards + 1, "doc_id"))
     rows = numbered(rows, "shard", ["doc_id", "text_crc32", "size"], "slot")
-    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("int").alias("slot"), "grown_shard")
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, *keys: str) -> None:
