@@ -110,12 +110,17 @@ def latin_form(text: str) -> str:
 
 
 def char_map(old: str, new: str) -> list[int]:
-    """For every offset of old (and its end) the offset in new that sequence matching gives it."""
-    out = [0] * (len(old) + 1)
-    for op, a, b, c, d in SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
-        for k in range(a, b):
-            out[k] = c + (k - a if op == "equal" else min(k - a, max(d - c, 0)))
-    out[len(old)] = len(new)
+    """For every offset of old (and its end) the offset in new that sequence matching gives it.
+
+    Where both have as many words, matching goes word by word."""
+    a, b = list(re.finditer(r"\S+|\s+", old)), list(re.finditer(r"\S+|\s+", new))
+    pairs = zip(a, b, strict=True) if len(a) == len(b) else ()
+    spans = [(x.span(), y.span()) for x, y in pairs] or [((0, len(old)), (0, len(new)))]
+    out = [0] * len(old) + [len(new)]
+    for (p, q), (r, s) in spans:
+        for op, c, d, e, f in SequenceMatcher(None, old[p:q], new[r:s], autojunk=False).get_opcodes():
+            for k in range(c, d):
+                out[p + k] = r + e + (k - c if op == "equal" else min(k - c, f - e))
     return out
 
 

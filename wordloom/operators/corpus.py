@@ -139,7 +139,7 @@ Q = {
     "r10_history_newest_first": lambda d: "select user_id, event_id, cast(row_number() over (partition by user_id order by ts desc, event_id desc) as bigint) as age from events",
     "r11_proposal_timeline": lambda d: f"select user_id, {d.listagg('event_type', '>', 'ts, event_id')} as timeline, count(*) as events from events where event_type <> 'click' group by user_id",
     "r12_flag_counts": lambda d: "select source, count(*) as n, count(*) filter (where lang = 'en') as english from documents group by source",
-    "r13_rule_order": lambda d: "select id, kind, source, target from rules where active order by case when kind like 'Brand#1%' then 0 else 1 end, length(source) desc, source, id limit 300",
+    "r13_rule_order": lambda d: "select id, kind, source, target from rules where active order by case when kind like 'Brand#1%' then 0 else 1 end, length(source) desc, source, id",
     "r14_xref_source": lambda d: "select t.code, coalesce(m.source, t.code) as source from translations t left join (select 'T1' as code, 'T3' as source) m on m.code = t.code",
     "r15_authority": lambda d: "select b.code, a.code as authority from translations b join translations a on a.family = b.family and a.authority and a.id <> b.id",
     "r16_verse_pair_links": lambda d: """

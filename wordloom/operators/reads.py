@@ -61,7 +61,7 @@ Q = {
         select w.id, count(*) as edges from translation_words w join (
             select word_a_id as word_id from itl union all select word_b_id as word_id from itl) e on e.word_id = w.id group by w.id""",
     "j9_verse_range": lambda d: """
-        select r.id, v.id as verse_id from (select id, book_id, chapter, verse as v1, verse + 60 as v2 from translation_verses where translation_id = 1 and verse % 50 = 0) r
+        select r.id, v.id as verse_id from (select id, book_id, chapter, verse as v1, verse + 60 as v2 from translation_verses where translation_id = 1) r
         left join translation_verses v on v.translation_id = 2 and v.book_id = r.book_id and v.chapter = r.chapter and v.verse between r.v1 and r.v2""",
     "j10_containment": lambda d: """
         select t.segment_id, t.position, b.row_no from token t join (
@@ -176,7 +176,7 @@ Q = {
         select segment_id, position, cast(sum(case when is_word then 1 else 0 end) over (partition by segment_id order by position rows between unbounded preceding and current row) as bigint) as words_before from token""",
     "w9_first_of_chapter": lambda d: "select id, seq = min(seq) over (partition by work_id, chapter) as is_first from segment",
     # --- ordering, limits
-    "o1_null_order": lambda d: "select id, confidence from itl order by confidence asc nulls first, id limit 200",
+    "o1_null_order": lambda d: "select id, confidence from itl order by confidence asc nulls first, id",
     "o2_priority_sort": lambda d: "select code, family from translations order by case family when 'new' then 0 else 1 end, id",
     "o3_page": lambda d: "select id, heading from segment order by id limit 30 offset 60",
     "o4_shared_page": lambda d: """
@@ -186,8 +186,8 @@ Q = {
     "o5_top_k": lambda d: "select strongs, count(*) as n from source_words group by strongs order by n desc, strongs limit 50",
     "o6_literal_rank": lambda d: "select t.code, r.rank from translations t join (select 'T3' as code, 1 as rank union all select 'T1', 2 union all select 'T2', 3) r on r.code = t.code order by r.rank",
     "o7_merged_lists": lambda d: """
-        select kind, id, moment from (select 'lock' as kind, event_id as id, acquired as moment from review_lock where event_id % 50 = 0
-            union all select 'lapse' as kind, event_id as id, expires as moment from review_lock where event_id % 70 = 0) t order by moment desc, kind, id limit 100""",
+        select kind, id, moment from (select 'lock' as kind, event_id as id, acquired as moment from review_lock
+            union all select 'lapse' as kind, event_id as id, expires as moment from review_lock) t order by moment desc, kind, id""",
     "o8_keyset_neighbours": lambda d: "select c.chapter, (select max(x.chapter) from segment x where x.chapter < c.chapter) as prev, (select min(x.chapter) from segment x where x.chapter > c.chapter) as next from (select distinct chapter from segment) c",
     # --- sets, recursion
     "u1_union_all": lambda d: "select 'HE' as lang, count(*) as n from source_words where lang = 'HE' union all select 'GR' as lang, count(*) as n from source_words where lang = 'GR'",
