@@ -28,5 +28,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents of sf_dir."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}", scanned=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -469,6 +469,6 @@ def test_pipeline(spark):
 def test_signatures_agree_as_sets_do():
     a, b = set(range(1000)), set(range(100, 1100))
     x = kernel.mix(np.array([*sorted(a), *sorted(b)], np.uint64))
-    low = kernel.minhash(x, np.array([1000, 1000]), *kernel.permutations(512, 1))
+    low = kernel.minhash(x, np.array([1000, 1000]), kernel.permutations(512, 1))
     assert abs((low[0] == low[1]).mean() - 900 / 1100) < 0.06
     assert linking.HALF * linking.M * 2 == 84

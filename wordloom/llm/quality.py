@@ -110,7 +110,7 @@ def votes(m: dict[str, np.ndarray]) -> np.ndarray:
             rule(m["n_dup_lines"] / np.maximum(m["lines"], 1), 0.35, 0.6, m["lines"] >= 3),
             rule(m["run"], 5, 10, long),
             rule(-m["distinct"] / words, -0.35, -0.15, long),
-            rule(per_stop, 30, 150, long),
+            rule(per_stop, 30, 150, long & (m["stops"] > 0)),
         ],
         axis=1,
     ).astype(np.int64)
@@ -147,7 +147,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np
     v = patterns[:, None] // 3 ** np.arange(n) % 3  # 0 bad, 1 abstain, 2 good
     one = np.eye(3)[v]  # (patterns, rules, 3)
     weight = counts.astype(float)
-    prior = np.ones((n + 1, n, 3))
+    prior = np.tile(np.array([0.2, 0.8, 9.0]), (n + 1, n, 1))  # on another rule's bad documents a rule votes as on good ones, until seen otherwise
     held = max(weight.sum(), 1.0)
     prior[0] = np.array([FALSE_ALARM, 0.1, 0.9 - FALSE_ALARM]) * held
     prior[np.arange(1, n + 1), np.arange(n)] = np.array([0.95, 0.049, 0.001]) * held
@@ -196,7 +196,7 @@ def features(docs: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, the base figures, base_failed, the posterior and kept for every row of docs."""
-    found = store(features(docs), "quality")
+    found = store(features(docs), "quality", scanned=True)
     posterior = _fitted(found)
     rows = [(k, v) for k, v in posterior.items()]
     model = docs.sparkSession.createDataFrame(rows, "pattern int, quality double")  # at most 3 ** RULES rows
