@@ -28,7 +28,12 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.exec
 
 
 #: Shuffle partitions per file of a stored table, and of one that holds pairs of ids.
-FILES, CONTROL = 4, 16
+FILES, CONTROL = 8, 16
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """df with FILES of its shuffle partitions in each of its tasks."""
+    return df.coalesce(max(1, parts(df.sparkSession) // FILES))
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -41,12 +46,15 @@ def store(df: DataFrame, name: str, scanned: bool = False, files: int | None = N
     """Writes df as a table in the shared folder and rereads it: lineage ends
     there, so a lost executor costs the tasks in flight and nothing earlier.
 
-    What comes out of a shuffle (not scanned) holds ids, keys and selected texts,
-    far less than the texts that shuffle partitions are sized for: FILES of them
-    go to a file, which keeps the number of small files down."""
+    What comes out of a shuffle (not scanned) is far less than the texts that
+    shuffle partitions are sized for: FILES of them go to a file, which keeps the
+    number of small files down. Pairs of ids (files) are dealt to still fewer
+    files after all tasks have worked on them."""
     spark = tuned(df.sparkSession)
-    if not scanned:
-        df = df.coalesce(max(1, parts(spark) // (files or FILES)))
+    if files:
+        df = df.repartition(max(1, parts(spark) // files))
+    elif not scanned:
+        df = gathered(df)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

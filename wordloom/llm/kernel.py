@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 
 _WORD = np.ones(256, dtype=bool)
 _WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -139,9 +139,9 @@ def trimmed(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return begin, end
 
 
-def char_shingles(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def char_shingles(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, k: int, roll: Rolling | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of k consecutive characters within each ascending byte range (all of a
-    shorter one), and the number per range."""
+    shorter one), and the number per range. roll: the hashes of buf, where they exist."""
     first = np.flatnonzero((buf & 0xC0) != 0x80)  # where characters start
     at, to = np.searchsorted(first, begin), np.searchsorted(first, end)
     count = np.maximum(to - at, 0)
@@ -149,21 +149,26 @@ def char_shingles(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, k: int) -
     char = np.repeat(at, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     first = np.append(first, len(buf))
     stop = np.minimum(first[char + np.repeat(np.minimum(count, k), n)], np.repeat(end, n))
-    return Rolling(byte_values(buf)).ranges(first[char], stop), n
+    return (roll or Rolling(byte_values(buf))).ranges(first[char], stop), n
 
 
-def minhash(x: np.ndarray, counts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """uint32 minima per row (rows without elements: all ones) for each (a, b)."""
+def minhash(x: np.ndarray, counts: np.ndarray, turns: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """uint32 minima per row (rows without elements: all ones) for each (multiplier, offset)."""
+    a, b = turns
     out = np.full((len(counts), len(a)), 0xFFFFFFFF, np.uint32)
     live = np.flatnonzero(counts)
     if len(live):
         x32 = (x >> np.uint64(32)).astype(np.uint32)
         at = (np.cumsum(counts) - counts)[live]
+        turned = np.empty_like(x32)
         for f in range(len(a)):
-            out[live, f] = np.minimum.reduceat(x32 * a[f] + b[f], at)
+            np.multiply(x32, a[f], out=turned)
+            np.add(turned, b[f], out=turned)
+            out[live, f] = np.minimum.reduceat(turned, at)
     return out
 
 
 def permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd multipliers and offsets: each pair permutes the 32-bit numbers."""
     rng = np.random.Generator(np.random.PCG64(seed))
     return rng.integers(0, 2**32, n, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, n, dtype=np.uint32)

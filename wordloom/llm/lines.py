@@ -34,7 +34,7 @@ CHARS, MIN_CHARS, PERCENT = 8, 20, 80
 BANDS, ROWS = 14, 4
 #: Parts of the key space; what a task holds of the keys is its parts' share.
 PARTS = 1024
-_A, _B = K.permutations(BANDS * ROWS, 9)
+_TURNS = K.permutations(BANDS * ROWS, 9)
 _RECORD = np.dtype([("key", "<u4"), ("node", "<i8")])
 _LINE = "node long, doc_id long, text_key long, line int, n_shingles int"
 
@@ -60,10 +60,11 @@ def _read(batches):
             part = K.lower_ascii(buf[off[i] : off[j]])
             lines, row, number = line_offsets(part, off[i : j + 1] - off[i])
             begin, end = K.trimmed(part, lines)
-            x, n = K.char_shingles(part, begin, end, CHARS)
+            roll = K.Rolling(K.byte_values(part))
+            x, n = K.char_shingles(part, begin, end, CHARS, roll)
             long = n >= MIN_CHARS - CHARS + 1
             x, n, row, number = x[np.repeat(long, n)], n[long], row[long], number[long]
-            node = K.Rolling(K.byte_values(part)).ranges(begin[long], end[long]).view(np.int64)
+            node = roll.ranges(begin[long], end[long]).view(np.int64)
             at = pa.array(row + i)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -78,7 +79,7 @@ def _read(batches):
                 ],
                 ["kind", "part", "records", "node", "doc_id", "text_key", "line", "n_shingles"],
             )
-            low = K.minhash(x, n, _A, _B).reshape(-1, BANDS, ROWS).astype(np.uint64)
+            low = K.minhash(x, n, _TURNS).reshape(-1, BANDS, ROWS).astype(np.uint64)
             key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), low.shape[:2])
             for r in range(ROWS):
                 key = K.mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, :, r])
@@ -110,6 +111,11 @@ def _shared(batches):
             held.setdefault(part, []).append(records)
     for part, blobs in held.items():
         r = np.frombuffer(b"".join(blobs), _RECORD)
+        r = r[np.argsort(r["key"])]
+        same = r["key"][1:] == r["key"][:-1]
+        r = r[np.concatenate((same, [False])) | np.concatenate(([False], same))]  # most keys have one node
+        if not len(r):
+            continue
         r = r[np.lexsort((r["node"], r["key"]))]
         r = r[np.concatenate(([True], (r["key"][1:] != r["key"][:-1]) | (r["node"][1:] != r["node"][:-1])))]
         new = np.concatenate(([True], r["key"][1:] != r["key"][:-1]))

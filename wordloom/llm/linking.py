@@ -29,11 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .base import connected_components, store
+from .base import CONTROL, connected_components, store
 
 HALF, M = 3, 14
-SKETCH = 256
-_A, _B = K.permutations(2 * M * HALF, 4)
+#: Min-hashes of a sketch, BITS of each; two unlike ones agree by chance in one of 16.
+SKETCH, BITS = 1024, 4
+_TURNS = K.permutations(2 * M * HALF, 4)
 
 #: From the bytes and offsets of some texts to the shingle hashes of all, and their number per text.
 Shingler = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -74,7 +75,7 @@ def sets_of(column: pa.Array, shingler: Shingler) -> Iterator[np.ndarray]:
 
 def signature(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[int], list[bytes]]:
     """Half-keys (rows, 2 * M), set sizes and set digests of texts given by their shingles."""
-    low = K.minhash(x, n, _A, _B).reshape(len(n), 2 * M, HALF).astype(np.uint64)
+    low = K.minhash(x, n, _TURNS).reshape(len(n), 2 * M, HALF).astype(np.uint64)
     key = np.zeros(low.shape[:2], np.uint64)
     for h in range(HALF):
         key = K.mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, :, h] + np.uint64(h + 1))
@@ -108,17 +109,17 @@ def verified(pairs: DataFrame, texts: DataFrame, shingler: Shingler, percent: in
 
 
 def _tables(alive: DataFrame) -> DataFrame:
-    """alive's columns and key: a row for each table in which a class has a bucket that others may share."""
+    """alive's columns, key and x: a row for each table (of half-key x and another) in which a class has a bucket that others may share."""
     own = [c for c in alive.columns if c not in ("a", "b")]
     rows = alive.select(*own, "b", F.explode("a").alias("x")).select(*own, "x", F.explode("b").alias("y"))
-    return rows.select(F.xxhash64("x", "y").alias("key"), *own)
+    return rows.select(F.xxhash64("x", "y").alias("key"), "x", *own)
 
 
 def _bounds(docs: DataFrame, named: DataFrame, shingler: Shingler, counted: bool) -> DataFrame:
     """(doc, n, sketch, alone) of the classes in `docs`: the size of the set, the low
-    bytes of SKETCH min-hashes, eight to a long, and, if counted, how many shingles no
+    bits of SKETCH min-hashes, sixteen to a long, and, if counted, how many shingles no
     other of them has (a row per shingle is shuffled for it: short texts do without)."""
-    p, q = K.permutations(SKETCH, 5)
+    turns = K.permutations(SKETCH, 5)
     kind = docs.schema["doc"].dataType.simpleString()
 
     def sketches(batches):
@@ -126,8 +127,9 @@ def _bounds(docs: DataFrame, named: DataFrame, shingler: Shingler, counted: bool
             buf, off = K.buffer_of(batch.column(1))
             for i, j in K.chunks(off):
                 x, n = shingler(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                low = K.minhash(x, n, p, q).astype(np.uint8).view(np.int64)
-                flat = pa.ListArray.from_arrays(np.arange(j - i + 1, dtype=np.int32) * (SKETCH // 8), pa.array(low.reshape(-1)))
+                low = K.minhash(x, n, turns).astype(np.uint8) & np.uint8(15)
+                longs = np.ascontiguousarray(low[:, 0::2] | low[:, 1::2] << np.uint8(4)).view(np.int64)
+                flat = pa.ListArray.from_arrays(np.arange(j - i + 1, dtype=np.int32) * longs.shape[1], pa.array(longs.reshape(-1)))
                 ends = np.cumsum(n)
                 size = [len(np.unique(x[a:b])) for a, b in zip(ends - n, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), flat], ["doc", "n", "sketch"])
@@ -152,30 +154,35 @@ def _folded(by: int) -> Callable[[Column], Column]:
     return lambda v: v.bitwiseOR(F.shiftrightunsigned(v, by))
 
 
-def _agreeing() -> Column:
-    """In how many of the SKETCH bytes x.sketch and y.sketch agree."""
-    d = F.zip_with("x.sketch", "y.sketch", lambda a, b: a.bitwiseXOR(b))
-    for by in (4, 2, 1):  # the lowest bit of each byte becomes the union of its bits
+def _near(longs: int, similarity: float) -> Column:
+    """Whether the first `longs` longs of x.sketch and y.sketch agree in as many places as
+    sets of this similarity do, less four standard deviations (3e-5)."""
+    cut = lambda c: F.slice(c, 1, longs) if longs * 64 // BITS < SKETCH else F.col(c)
+    d = F.zip_with(cut("x.sketch"), cut("y.sketch"), lambda a, b: a.bitwiseXOR(b))
+    for by in (2, 1):  # the lowest bit of each place becomes the union of its bits
         d = F.transform(d, _folded(by))
-    ones = F.lit(0x0101010101010101)
-    return F.aggregate(d, F.lit(SKETCH), lambda n, v: n - F.bit_count(v.bitwiseAND(ones)).cast("int"))
+    places = longs * 64 // BITS
+    ones = F.lit(0x1111111111111111)
+    unlike = F.aggregate(d, F.lit(0), lambda n, v: n + F.bit_count(v.bitwiseAND(ones)).cast("int"))
+    p = similarity + (1 - similarity) / (1 << BITS)
+    return unlike <= places - int(places * p - 4 * (places * p * (1 - p)) ** 0.5)
 
 
 def _rest(docs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes that share a table bucket, lie in different components and may reach the threshold.
 
-    docs: (doc, n, a, b, component, sketch, alone). The shingles two sets share are
+    docs: (doc, n, a, b, component, sketch, alone), a in order and of mixed buckets
+    only. The shingles two sets share are
     no more than what either shares with anyone, c = n - alone, and a link needs
     (100 + percent) * shared >= percent * (n + n'). So a class with too many shingles
     of its own drops out, and the bound is tested on each pair; both tests are exact.
-    Sketches then estimate the similarity: the bar lies four standard deviations
-    below the threshold (3e-5). A pair comes out once, at the first A it shares."""
+    Sketches then estimate the similarity, a short part of them first. A pair comes
+    out once, at the first A it shares."""
     c = F.col("n") - F.coalesce("alone", F.lit(0))
     rows = docs.withColumn("c", c).where(f"100 * c >= {percent} * n").withColumn("key", F.explode("a"))
     x, y = rows.alias("x"), rows.alias("y")
     fits = F.expr(f"{100 + percent} * least(x.c, y.c) >= {percent} * (x.n + y.n)")
-    s = percent / 100
-    near = _agreeing() >= int(SKETCH * s - 4 * (SKETCH * s * (1 - s)) ** 0.5)
+    near = _near(8, percent / 100) & _near(SKETCH * BITS // 64, percent / 100)
     first = F.get(F.array_intersect(F.col("x.a"), F.col("y.a")), F.lit(0)) == F.col("x.key")
     other = F.col("x.component") < F.col("y.component")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & other & fits & first & F.arrays_overlap("x.b", "y.b") & near)
@@ -203,18 +210,18 @@ def components(alive: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shi
     top = F.max(F.struct("mates", "doc")).alias("top")
     hub = rows.groupBy("key").agg(top, F.count("*").alias("members")).where("members > 1").select("key", F.col("top.doc").alias("hub"))
     stars = rows.select("key", "doc").join(hub, "key").where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
-    stars = store(stars.distinct(), "link-stars")
+    stars = store(stars.distinct(), "link-stars", files=CONTROL)
     met = stars.select(F.col("a").alias("doc")).union(stars.select("b")).distinct()
     # The only time whole texts move: those of classes that met another one.
     named = store(texts_of(met), "link-texts")
-    edges = store(verified(stars, named, shingler, percent), "link-edges")
+    edges = store(verified(stars, named, shingler, percent), "link-edges", files=CONTROL)
 
     label = alive.drop("mates").join(connected_components(edges).withColumnRenamed("node", "doc"), "doc", "left")
     label = label.withColumn("component", F.coalesce("component", "doc"))
     rows = _tables(label)
     mixed = rows.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
-    docs = store(rows.join(mixed, "key").select("doc").distinct(), "link-mixed")
+    docs = store(rows.join(mixed, "key").select("doc").distinct(), "link-mixed", files=CONTROL)
     rest = label.join(_bounds(docs, named, shingler, counted), "doc")
-    rest = store(_rest(rest, percent), "link-pairs").join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti")
-    found = store(verified(rest, named, shingler, percent), "link-found")
+    rest = store(_rest(rest, percent), "link-pairs", files=CONTROL).join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti")
+    found = store(verified(rest, named, shingler, percent), "link-found", files=CONTROL)
     return connected_components(edges.unionByName(found))
