@@ -95,19 +95,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # 2. Fingerprints of those windows; whole texts move once, those without a window nowhere further.
     both = keyed.join(starts, "text_key").select("doc_id", "text_key", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"), "windows")
     windows = both.select("doc_id", "text_key", "h", F.explode("windows").alias("w")).select(
-        "doc_id", "text_key", F.col("w.start").alias("start"), F.slice("h", F.col("w.start") + 1, F.col("w.n")).alias("h")
+        "doc_id", "text_key", F.col("w.start").alias("start"), F.col("w.n").alias("size"), F.slice("h", F.col("w.start") + 1, F.col("w.n")).alias("h")
     )
     windows = windows.select("*", shingles("h").alias("shingles"), simhash(F.col("h")).alias("print"))
     windows = store(windows.distinct(), "decontam-windows")
-    cut = windows.select("doc_id", "text_key", "start", F.size("h").alias("n"), "print", F.explode(blocks("print")).alias("b"))
-    own = items.select("item_id", F.col("print").alias("item_print"), F.explode(blocks("print")).alias("b"))
-    close = cut.join(near(own), "b").withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))
-    close = close.where(F.col("distance") <= RADIUS).select("doc_id", "text_key", "start", F.col("n").alias("w_n"), "item_id", "distance").distinct()
+    cut = windows.select("doc_id", "text_key", "start", "size", "print", F.explode(blocks("print")).alias("b"))
+    own = items.select("item_id", F.col("n").alias("size"), F.col("print").alias("item_print"), F.explode(blocks("print")).alias("b"))
+    close = cut.join(near(own), ["b", "size"]).withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))
+    close = close.where(F.col("distance") <= RADIUS).select("doc_id", "text_key", "start", "size", "item_id", "distance").distinct()
     # 3. Exact similarity of the pairs found.
-    texts = windows.select("text_key", "start", F.size("h").alias("w_n"), "h", "shingles").dropDuplicates(["text_key", "start", "w_n"])
-    pairs = close.join(texts, ["text_key", "start", "w_n"]).join(near(items.select("item_id", "n", F.col("shingles").alias("wanted"))), "item_id")
+    texts = windows.select("text_key", "start", "size", F.size("h").alias("w_n"), "shingles").dropDuplicates(["text_key", "start", "size"])
+    pairs = close.join(texts, ["text_key", "start", "size"]).join(near(items.select("item_id", F.col("shingles").alias("wanted"))), "item_id")
     shared = _overlap(F.col("wanted"), F.col("shingles"))
-    pairs = pairs.where("w_n <= n").withColumn("shared", shared).withColumn("total", F.size("wanted") + F.size("shingles") - F.col("shared"))
+    pairs = pairs.withColumn("shared", shared).withColumn("total", F.size("wanted") + F.size("shingles") - F.col("shared"))
     pairs = pairs.where(f"100 * shared >= {PERCENT} * total").withColumn("similarity", F.col("shared") / F.col("total"))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("minus"), "w_n", (-F.col("distance")).alias("near"))).alias("best")
     found = pairs.groupBy("doc_id", "text_key", "item_id").agg(best)
@@ -123,7 +123,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+    """doc_id, item_id, start (word), n_words and similarity of the best window of each contaminated document and item."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key", "distance")
+
+
+#: The same windows and similarities, without fingerprints.
+SQL = r"""
+with dw as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents),
+iw as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from benchmark),
+ds as (select doc_id, len(w) as n, unnest(range(0, greatest(len(w) - 4, 1))) as pos, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) as s from dw where len(w) > 0),
+its as (select item_id, len(w) as n, greatest(len(w) - 4, 1) as m, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) as s from iw where len(w) > 0),
+ic as (select item_id, n, m, s, count(*) as c from its group by all),
+hit as (select d.doc_id, d.n as words, d.pos, d.s, i.item_id, i.n, i.m, i.c from ds d join ic i on i.s = d.s),
+win as (select a.doc_id, a.item_id, a.pos as start, a.words, a.n, a.m, h.s, least(count(*), max(h.c)) as shared
+    from (select distinct doc_id, words, item_id, n, m, pos from hit) a join hit h on h.doc_id = a.doc_id and h.item_id = a.item_id and h.pos >= a.pos and h.pos < a.pos + a.m group by all),
+sim as (select doc_id, item_id, start, least(n, words - start) as n_words, sum(shared) as shared, m + least(m, greatest(words - 4, 1) - start) - sum(shared) as total from win group by doc_id, item_id, start, words, n, m)
+select doc_id, item_id, cast(start as int) as start, cast(n_words as int) as n_words, cast(shared as double) / cast(total as double) as similarity
+from (select *, row_number() over (partition by doc_id, item_id order by cast(shared as double) / cast(total as double) desc, start) as rn from sim where 100 * shared >= 80 * total) t where rn = 1
+"""
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

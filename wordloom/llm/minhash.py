@@ -59,6 +59,24 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+#: Exact links by an inverted index, and reachability.
+SQL = r"""
+with recursive w as (
+    select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\x0c\r]+'), lambda x: x <> '') as w from documents),
+sh as (
+    select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s from w),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b on b.s = a.s and b.doc_id > a.doc_id group by 1, 2),
+link as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+edge as (select a, b from link union all select b, a from link),
+reach(node, label) as (select doc_id, doc_id from n union select r.node, e.b from reach r join edge e on e.a = r.label),
+low as (select node, min(label) as component_id from reach group by node)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(low.component_id, d.doc_id) as component_id, coalesce(low.component_id, d.doc_id) = d.doc_id as kept
+from documents d left join n on n.doc_id = d.doc_id left join low on low.node = d.doc_id
+"""
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays (that of the smallest id), with all its columns."""
     gone = components(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()

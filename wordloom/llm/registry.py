@@ -16,5 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_minhash_near_dedup": minhash.SQL,
+    "op6_simhash_decontamination": decontam.SQL,
     "op10_license_digests": licenses.SQL,
 }
