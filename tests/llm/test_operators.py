@@ -101,6 +101,16 @@ def test_passages(spark, odd, none):
     assert chaining.passages(none).count() == 0
 
 
+def test_passages_with_scattered_edits(spark):
+    rng, rows, n = random.Random(11), [], 40
+    for k in range(n):
+        w = prose(1000 + k, 60).split()
+        edited = [f"ander{k}.{i}" if i in gone else v for gone in [set(rng.sample(range(60), 7))] for i, v in enumerate(w)]
+        rows += [(k, " ".join(w)), (n + k, prose(2000 + k, 30) + " " + " ".join(edited) + " " + prose(3000 + k, 30))]
+    got = {(r["doc_id"], r["source_doc_id"]) for r in chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum((n + k, k) in got for k in range(n)) >= 0.95 * n
+
+
 def test_passages_cover_repeats(spark):
     docs = documents(spark)
     cover = defaultdict(list)
