@@ -111,6 +111,15 @@ def test_passages_with_scattered_edits(spark):
     assert sum((n + k, k) in got for k in range(n)) >= 0.95 * n
 
 
+def test_passage_whose_parts_stand_elsewhere(spark):
+    w = prose(60, 60).split()
+    parts = [" ".join(w[k : k + 20]) for k in (0, 16, 32, 44)]
+    others = lambda at: [(at + k, f"{prose(100 * at + k, 30)} {part} {prose(100 * at + 50 + k, 30)}") for k, part in enumerate(parts)]
+    rows = [*others(1), (10, f"{prose(61, 50)} {' '.join(w)} {prose(62, 50)}"), *others(20), (30, f"{prose(63, 70)} {' '.join(w)} {prose(64, 20)}")]
+    got = [r for r in chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] == 30]
+    assert [(r["source_doc_id"], r["start"], r["end"], r["matched"]) for r in got] == [(10, 70, 130, 60)]
+
+
 def test_passages_cover_repeats(spark):
     docs = documents(spark)
     cover = defaultdict(list)
