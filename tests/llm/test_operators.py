@@ -120,6 +120,31 @@ def test_passage_whose_parts_stand_elsewhere(spark):
     assert [(r["source_doc_id"], r["start"], r["end"], r["matched"]) for r in got] == [(10, 70, 130, 60)]
 
 
+def test_passages_with_a_long_gap(spark):
+    one, two, alone = prose(70, 60), prose(71, 60), prose(72, 120)
+    rows = [(1, f"{one} {prose(73, 100)} {two}"), (2, f"{one} {prose(74, 100)} {two}"), (3, alone), (4, f"{alone[: alone.index(alone.split()[60])]}{prose(75, 100)} {' '.join(alone.split()[60:])}")]
+    got = chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    near = lambda v: round(v / 20) * 20  # noqa: E731 a word of the gap may match by chance
+    assert sorted((r["doc_id"], r["source_doc_id"], near(r["start"]), near(r["end"])) for r in got) == [(2, 1, 0, 60), (2, 1, 160, 220), (4, 3, 0, 60), (4, 3, 160, 220)]
+    assert all(r["matched"] >= 60 for r in got)
+
+
+def test_split_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(30):
+        a = [str(k).encode() for k in range(160)]
+        b = [w if rng.random() > rate else b"x" for w, rate in zip(a, [rng.choice((0, 0.1, 0.5, 1)) for _ in range(8) for _ in range(20)], strict=True)]
+        path = [(k, k) for k in range(155) if a[k : k + 5] == b[k : k + 5]]
+        if not path:
+            continue
+        same = np.concatenate(([0], np.cumsum([v == w for v, w in zip(a, b, strict=True)])))
+        got = chaining.split(a, b, 0, 0, path)
+        assert all(same[j] - same[i] == m >= 40 and 100 * m >= 80 * (j - i) and (i, j) == (p, q) for i, j, p, q, m in got)
+        lo, hi = path[0][0], path[-1][0] + 5
+        best = max((int(same[j] - same[i]) for i in range(lo, hi) for j in range(i + 40, hi + 1) if 100 * (same[j] - same[i]) >= 80 * (j - i)), default=0)
+        assert (got[0][4] if got else 0) >= (best if best >= 40 else 0)
+
+
 def test_passages_cover_repeats(spark):
     docs = documents(spark)
     cover = defaultdict(list)
