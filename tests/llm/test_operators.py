@@ -472,6 +472,12 @@ def test_first_line_stays(spark):
     assert got == {1: rows[1][1], 2: "other things are said here"}
 
 
+def test_short_lines_go_too(spark):
+    rows = [(1, "Menu\n\na b\nnext page >"), (2, "menu \nNext page >\nonly here\n\nx"), (3, " Menu")]
+    got = dict(map(tuple, lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == {1: rows[0][1], 2: "only here\n\nx"}
+
+
 # 10 --- licences
 
 

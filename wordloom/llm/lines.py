@@ -2,9 +2,10 @@
 
 Lines are split at newlines and compared between their first and last word,
 letters A-Z in lower case, by the sets of their CHARS-character shingles; a link
-needs a Jaccard similarity of 0.8.  Lines of fewer than MIN_CHARS characters say
-too little to be called copies: they stay and are not compared.  "First" is by
-doc_id, null last, then by line number.
+needs a Jaccard similarity of 0.8; a line of fewer characters than CHARS is one
+shingle.  The query op9 lists lines of MIN_CHARS characters or more; `dedup`
+compares every line that has a word.  "First" is by doc_id, null last, then by
+line number.
 
 Lines that are equal in this form are one node, named by a 64-bit hash.  BANDS
 keys of ROWS min-hashes each are computed per node: at similarity 0.8 two nodes
@@ -50,8 +51,8 @@ def line_offsets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.append(pos, len(buf)), row, np.arange(len(row)) - first[row]
 
 
-def _read(batches):
-    """A row per compared line, and rows of packed (band key, node) records, one per part."""
+def _read(batches, least: int):
+    """A row per line of `least` characters or more, and rows of packed (band key, node) records, one per part."""
     none = lambda n, kind: pa.nulls(n, kind)
     for batch in batches:
         buf, off = K.buffer_of(batch.column(2))
@@ -62,7 +63,7 @@ def _read(batches):
             begin, end = K.trimmed(part, lines)
             roll = K.Rolling(K.byte_values(part))
             x, n = K.char_shingles(part, begin, end, CHARS, roll)
-            long = n >= MIN_CHARS - CHARS + 1
+            long = n >= max(1, least - CHARS + 1)
             x, n, row, number = x[np.repeat(long, n)], n[long], row[long], number[long]
             node = roll.ranges(begin[long], end[long]).view(np.int64)
             at = pa.array(row + i)
@@ -131,12 +132,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """Every line that is compared: doc_id, text_key, line, n_shingles, and first: the
+def judged(docs: DataFrame, least: int = 1) -> DataFrame:
+    """Every line with a word and at least `least` characters (1, or more than CHARS): doc_id, text_key, line, n_shingles, and first: the
     (missing, doc_id, text_key, line) of the line that stays for it."""
     spark, rows = docs.sparkSession, _keyed(docs)
     path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
-    rows.mapInArrow(_read, f"kind string, part int, records binary, {_LINE}").write.partitionBy("kind").parquet(path)
+    rows.mapInArrow(lambda batches: _read(batches, least), f"kind string, part int, records binary, {_LINE}").write.partitionBy("kind").parquet(path)
     schema = f"kind string, part int, records binary, {_LINE}"
     read = spark.read.schema(schema).parquet(path)
     lines = read.where("kind = 'line'").select("node", "doc_id", "text_key", "line", "n_shingles")
@@ -166,7 +167,7 @@ def _stays() -> Column:
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, line (from 0), n_shingles, kept, and the line that stays for it: kept_doc_id, kept_line."""
-    rows = judged(table(spark, sf_dir, "documents"))
+    rows = judged(table(spark, sf_dir, "documents"), MIN_CHARS)
     return rows.select("doc_id", "line", "n_shingles", _stays().alias("kept"), F.col("first.doc_id").alias("kept_doc_id"), F.col("first.line").alias("kept_line"))
 
 
