@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordloom.functions import forms, matching
-from wordloom.operators import state
+from wordloom.operators import state, text
 from wordloom.plans import catalog, inventory, load
 from wordloom.sources import readers
 
@@ -84,3 +84,9 @@ def test_h19_binary_order(spark):
 def test_every_operator_has_a_status(group):
     found = {k: v for k, v in inventory.status().items() if k.rstrip("0123456789") == group}
     assert len(found) == inventory.GROUPS[group] and "open" not in found.values()
+
+
+def test_merged_readings_know_every_word(spark):
+    known = spark.createDataFrame([(f"w{k}",) for k in range(2000)], "word string")
+    pairs = spark.createDataFrame([(1, "w1 w19x9 w3", "w1 w1999 w3"), (2, "w1 w1998", "w1 q"), (3, "w1", "w1"), (4, None, "")], "id long, text string, other string")
+    assert dict(map(tuple, text.merged_readings(pairs, known).collect())) == {1: "w1 w1999 w3", 2: "w1 w1998", 3: "w1", 4: ""}

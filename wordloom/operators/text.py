@@ -125,14 +125,16 @@ def f42(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("id", F.posexplode(forms.udf_word_diff()("a", "b")).alias("n", "d")).select("id", "n", "d.op", "d.text")
 
 
-@query("t2_merged_readings")
-def t2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two readings of a text word by word: of what differs, the reading with more known words stays."""
-    known = {r["word"] for r in run_sql(spark, sf_dir, "select word from token where is_word group by word order by count(*) desc, word limit 500").collect()}  # a fixed vocabulary size
+def merged_readings(pairs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(id, merged) of (id, text, other): of what differs, the reading with the larger share of words in vocabulary (word) stays."""
+
+    @F.pandas_udf("array<string>")
+    def differing(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([sorted({w for op, t in forms.word_diff(x or "", y or "") if op != "equal" for w in t.split()}) for x, y in zip(a, b, strict=True)])
 
     @F.pandas_udf("string")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str, y: str) -> str:
+    def run(a: pd.Series, b: pd.Series, words: pd.Series) -> pd.Series:
+        def one(x: str, y: str, known: set[str]) -> str:
             runs, out, k = forms.word_diff(x, y), [], 0
             while k < len(runs):
                 if runs[k][0] == "delete" and k + 1 < len(runs) and runs[k + 1][0] == "insert":
@@ -144,10 +146,19 @@ def t2(spark: SparkSession, sf_dir: str) -> DataFrame:
                     k += 1
             return " ".join(out)
 
-        return pd.Series([one(x or "", y or "") for x, y in zip(a, b, strict=True)])
+        return pd.Series([one(x or "", y or "", set() if w is None else set(w)) for x, y, w in zip(a, b, words, strict=True)])
 
+    found = pairs.select("id", F.explode(differing("text", "other")).alias("word")).join(vocabulary.select("word").distinct(), "word")
+    known = found.groupBy(F.col("id").alias("_id")).agg(F.collect_set("word").alias("known"))
+    both = pairs.join(known, F.col("id").eqNullSafe(F.col("_id")), "left")
+    return both.select("id", run("text", "other", "known").alias("merged"))
+
+
+@query("t2_merged_readings")
+def t2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two readings of a text word by word: of what differs, the reading with more known words stays."""
     pairs = run_sql(spark, sf_dir, "select id, text, replace(text, 'th', 'tb') as other from segment")
-    return pairs.select("id", run("text", "other").alias("merged"))
+    return merged_readings(pairs, run_sql(spark, sf_dir, "select distinct word from token where is_word"))
 
 
 @query("t3_one_letter_corrections")
