@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.operators import alignment, state
+from wordloom.operators import graph, state
 from wordloom.sources import readers
 
 
@@ -64,7 +64,7 @@ def test_csv_round_trip(spark, tmp_path):
 
 
 def test_components(spark):
-    got = alignment.components(frame(spark, [(k, k + 1) for k in range(1, 40)] + [(100, 101)], "a long, b long"))
+    got = graph.connected_components(frame(spark, [(k, k + 1) for k in range(1, 40)] + [(100, 101)], "a long, b long"))
     assert {(r["node"], r["component"]) for r in got.collect()} == {(k, 1) for k in range(1, 41)} | {(100, 100), (101, 100)}
 
 
