@@ -14,7 +14,7 @@ def prose(seed: int, n: int) -> str:
 
 @pytest.fixture(scope="session")
 def odd(spark):
-    """Rows of every awkward kind, with an extra column whose name clashes with one that operators use."""
+    """Rows of every awkward kind, with extra columns whose names clash with those that operators use."""
     a = prose(1, 120)
     near = a.split()
     near[60] = "anders"
@@ -31,7 +31,9 @@ def odd(spark):
         (8, prose(4, 6000), "x", "s", 1, 9),
         (9, "kort", "x", "s", 1, 9),
     ]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, component long")
+    rows = [(*r, "g", "own", 1, 2, 3, "k", "r") for r in rows]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, component long, _gone string, shard string, _d int, _k int, pattern int, text_key string, row string"
+    return spark.createDataFrame(rows, kind)
 
 
 @pytest.fixture(scope="session")

@@ -1,111 +1,30 @@
-"""Shared storage, table access and connected components for the llm operators."""
+"""Table access for the llm operators; storage and components are the library's own."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Only where a session has none (local tests) one is set here."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = _OWN.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="wordloom-")
-        _OWN[spark.sparkContext.applicationId] = path
-    return path.rstrip("/")
+from ..operators.graph import CONTROL, connected_components
+from ..plans import storage
+from ..plans.storage import bounded, discard, fresh, new_path, parts, shared_dir
 
+__all__ = ["BATCH", "CONTROL", "bounded", "connected_components", "discard", "fresh", "new_path", "parts", "shared_dir", "store", "table", "tuned"]
 
 #: Rows and bytes of text that an Arrow batch holds; what a Python worker holds at once follows from them.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
-#: Shuffle partitions per file of a stored table, and of one that holds pairs of ids.
-FILES, CONTROL = 8, 16
-
-
-def gathered(df: DataFrame) -> DataFrame:
-    """df with FILES of its shuffle partitions in each of its tasks."""
-    return df.coalesce(max(1, parts(df.sparkSession) // FILES))
-
-
 def tuned(spark: SparkSession) -> SparkSession:
+    """The session with BATCH set: plans read these settings when they run, so they stay."""
     for key, value in BATCH.items():
         spark.conf.set(key, value)
     return spark
 
 
 def store(df: DataFrame, name: str, scanned: bool = False, files: int | None = None) -> DataFrame:
-    """Writes df as a table in the shared folder and rereads it: lineage ends
-    there, so a lost executor costs the tasks in flight and nothing earlier.
-
-    What comes out of a shuffle (not scanned) is far less than the texts that
-    shuffle partitions are sized for: FILES of them go to a file, which keeps the
-    number of small files down. Pairs of ids (files) are dealt to still fewer
-    files after all tasks have worked on them."""
-    spark = tuned(df.sparkSession)
-    if files:
-        df = df.repartition(max(1, parts(spark) // files))
-    elif not scanned:
-        df = gathered(df)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    tuned(df.sparkSession)
+    return storage.store(df, name, scanned, files)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _star_round(star: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over edges (u, v) with u > v."""
-    both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    # Large star: every larger neighbour of u goes to the smallest of u's closed neighbourhood.
-    large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    # Small star: u and its smaller neighbours go to the smallest of them.
-    small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node with an edge.
-
-    edges: (a long, b long).  Alternating large-star and small-star rounds, each
-    a min-aggregate with map-side combine and an equi-join that adaptive
-    execution can split, so a hub is never gathered into one task.  Rounds are
-    logarithmic in the length of the longest path.  Null endpoints and loops
-    are dropped.
-    """
-    star = store(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(),
-        "cc-edges",
-        files=CONTROL,
-    )
-    before = None
-    for _ in range(max_rounds):
-        star = store(_star_round(star), "cc-round", files=CONTROL)
-        mark = star.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if mark == before:
-            break
-        before = mark
-    own = star.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return star.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionByName(own)
-
-
-def bounded(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most `rows` rows, reading no more than that."""
-    return df.limit(rows + 1).count() <= rows
-

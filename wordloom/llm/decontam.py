@@ -5,20 +5,24 @@ contaminated by an item if one of its windows as long as the item has a similari
 of at least 0.8 with it: the Jaccard similarity of the two multisets of K-word
 shingles, each shingle weighted by its number of occurrences.
 
-1. Shingles of all documents are hash-joined with those of the items.  A window
-   that reaches the threshold holds at least 0.8 / 1.8 of the shingles of both, and
-   moving a window right to its first shared shingle never lowers the similarity,
-   so windows that start at a shared shingle and hold enough of them are all that
-   need a fingerprint.  This loses nothing.
-2. Each such window gets a 64-bit SimHash of its words; so do the items.
+1. Item-sized windows: of the windows of all documents, those that cannot reach the
+   threshold with any item get no fingerprint.  A window that reaches it holds at
+   least 0.8 / 1.8 of the shingles of both, and moving a window right to its first
+   shared shingle never lowers the similarity, so the windows that start at a shared
+   shingle and hold enough of them are all that are left.  This loses nothing.
+2. Each such window gets a SimHash of its words, BITS bits; so do the items.
    Fingerprints are cut into RADIUS + 1 blocks: two within RADIUS bits agree on
-   some block whole, so an equi-join on blocks finds all of them.
+   some block whole, so an equi-join on block and size finds all of them.  Which
+   item a window is compared with is decided here alone.
 3. Pairs within RADIUS bits are verified by the exact similarity.
 
 An item or a window of fewer than K words is one shingle, the whole of it; it is
 met only by documents that are as short.  Null and empty texts have no words; items
-without words are left out; null item ids are an id like any other.  Repeat rows
-have the same rows of results, once.  Extra columns are ignored.
+without words are left out; null item ids are an id like any other, and items that
+share an id are one item with several texts.  Repeat rows have the same rows of
+results, once; of windows that tie the first counts.  A very long text costs what its
+words cost; it has as many rows as it has windows to compare.  Empty tables give no
+rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .base import bounded, store, table
 
-K, PERCENT, RADIUS = 5, 80, 16
+K, PERCENT = 5, 80
+BITS, RADIUS = 128, 32
 #: An item table of up to this many shingles (about 2 MB) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -46,7 +51,7 @@ def shingles(hashes: str) -> Column:
     return F.when(F.size(h) >= K, many).when(F.size(h) > 0, F.array(F.xxhash64(F.array_join(h.cast("array<string>"), " "))))
 
 
-def simhash(hashes: Column) -> Column:
+def _majority(hashes: Column) -> Column:
     """Bit b is set if it is in more than half of the hashes."""
     half = F.size(hashes) / 2
     one = lambda b: F.aggregate(hashes, F.lit(0), lambda n, h: n + F.getbit(h, b))
@@ -54,18 +59,36 @@ def simhash(hashes: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
+def simhash(hashes: Column) -> Column:
+    """BITS / 64 longs; all but the first are of the words hashed again."""
+    again = [hashes]
+    for _ in range(BITS // 64 - 1):
+        again.append(F.transform(again[-1], lambda h: F.xxhash64(h)))
+    return F.array(*[_majority(x) for x in again])
+
+
 def blocks(fingerprint: str) -> Column:
-    """(block, value) of RADIUS + 1 blocks that cover the 64 bits."""
-    n = RADIUS + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    cut = lambda i: F.shiftrightunsigned(fingerprint, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1).cast("long"))
-    return F.array(*[F.struct(F.lit(i).alias("block"), cut(i).alias("value")) for i in range(n)])
+    """(block, value) of RADIUS + 1 blocks that cover all bits, none across two longs."""
+    longs, out = BITS // 64, []
+    for k in range(longs):
+        n = (RADIUS + 1) * (k + 1) // longs - (RADIUS + 1) * k // longs
+        edges = [64 * i // n for i in range(n + 1)]
+        for i in range(n):
+            value = F.shiftrightunsigned(F.get(fingerprint, F.lit(k)), edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1).cast("long"))
+            out.append(F.struct(F.lit(len(out)).alias("block"), value.alias("value")))
+    return F.array(*out)
+
+
+def _distance(x: str, y: str) -> Column:
+    return sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(BITS // 64)), F.lit(0))
 
 
 def _overlap(x: Column, y: Column) -> Column:
     """Sum over distinct elements of the smaller number of occurrences."""
     times = lambda a, e: F.size(F.filter(a, lambda z: z == e))
-    return F.aggregate(F.array_distinct(x), F.lit(0), lambda n, e: n + F.least(times(x, e), times(y, e)))
+    both = F.array_intersect(x, y)
+    plain = (F.size(F.array_distinct(x)) == F.size(x)) | (F.size(F.array_distinct(y)) == F.size(y))
+    return F.when(plain, F.size(both)).otherwise(F.aggregate(both, F.lit(0), lambda n, e: n + F.least(times(x, e), times(y, e))))
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -77,16 +100,16 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_key, item_id, start (word), n_words, distance, similarity: the
     best window, of equals the first, for each contaminated document and item."""
-    items = store(items_of(benchmark), "decontam-items")
-    seeds = items.select("item_id", "n", F.size("shingles").alias("m"), F.explode(F.array_distinct("shingles")).alias("s"))
+    items = store(items_of(benchmark).withColumn("item", F.monotonically_increasing_id()), "decontam-items")
+    seeds = items.select("item", "n", F.size("shingles").alias("m"), F.explode(F.array_distinct("shingles")).alias("s"))
     small = bounded(seeds, BROADCAST_ROWS)
     near = F.broadcast if small else lambda x: x
     # 1. Where documents share shingles with items.
     keyed = docs.select(F.col("doc_id"), F.xxhash64("doc_id", "text").alias("text_key"), "text")
     hashed = keyed.select("text_key", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
     at = hashed.select("text_key", F.posexplode(shingles("h")).alias("pos", "s"))
-    hits = at.join(near(seeds), "s").select("text_key", "item_id", "n", "m", "pos").distinct()
-    grouped = hits.groupBy("text_key", "item_id", "n", "m").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    hits = at.join(near(seeds), "s").select("text_key", "item", "n", "m", "pos").distinct()
+    grouped = hits.groupBy("text_key", "item", "n", "m").agg(F.sort_array(F.collect_list("pos")).alias("at"))
     # A window that starts at hit i holds hits i .. i + m - 1 at most.
     inside = lambda x, i: F.size(F.filter(F.slice("at", i + 1, F.col("m")), lambda y: y < x + F.col("m")))
     enough = lambda x, i: inside(x, i) * (100 + PERCENT) >= PERCENT * (F.col("m") + inside(x, i))
@@ -100,12 +123,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = windows.select("*", shingles("h").alias("shingles"), simhash(F.col("h")).alias("print"))
     windows = store(windows.distinct(), "decontam-windows")
     cut = windows.select("doc_id", "text_key", "start", "size", "print", F.explode(blocks("print")).alias("b"))
-    own = items.select("item_id", F.col("n").alias("size"), F.col("print").alias("item_print"), F.explode(blocks("print")).alias("b"))
-    close = cut.join(near(own), ["b", "size"]).withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))
-    close = close.where(F.col("distance") <= RADIUS).select("doc_id", "text_key", "start", "size", "item_id", "distance").distinct()
+    own = items.select("item", F.col("n").alias("size"), F.col("print").alias("item_print"), F.explode(blocks("print")).alias("b"))
+    close = cut.join(near(own), ["b", "size"]).withColumn("distance", _distance("print", "item_print"))
+    close = close.where(F.col("distance") <= RADIUS).select("doc_id", "text_key", "start", "size", "item", "distance").distinct()
     # 3. Exact similarity of the pairs found.
     texts = windows.select("text_key", "start", "size", F.size("h").alias("w_n"), "shingles").dropDuplicates(["text_key", "start", "size"])
-    pairs = close.join(texts, ["text_key", "start", "size"]).join(near(items.select("item_id", F.col("shingles").alias("wanted"))), "item_id")
+    pairs = close.join(texts, ["text_key", "start", "size"]).join(near(items.select("item", "item_id", F.col("shingles").alias("wanted"))), "item")
     shared = _overlap(F.col("wanted"), F.col("shingles"))
     pairs = pairs.withColumn("shared", shared).withColumn("total", F.size("wanted") + F.size("shingles") - F.col("shared"))
     pairs = pairs.where(f"100 * shared >= {PERCENT} * total").withColumn("similarity", F.col("shared") / F.col("total"))
@@ -144,6 +167,7 @@ from (select *, row_number() over (partition by doc_id, item_id order by cast(sh
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: contaminated documents go; the others stay with all their columns."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
-    return docs.join(found, (F.xxhash64("doc_id", "text") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti")
+    """Pipeline stage: contaminated documents go, each for its own text; the others stay with all their columns."""
+    found = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "text_key").distinct()
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("d"), F.xxhash64("doc_id", "text").alias("k"))
+    return own.join(found, (F.col("k") == F.col("text_key")) & F.col("d").eqNullSafe(F.col("doc_id")), "left_anti").select("row.*")

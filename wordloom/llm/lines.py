@@ -3,9 +3,9 @@
 Lines are split at newlines and compared between their first and last word,
 letters A-Z in lower case, by the sets of their CHARS-character shingles; a link
 needs a Jaccard similarity of 0.8; a line of fewer characters than CHARS is one
-shingle.  The query op9 lists lines of MIN_CHARS characters or more; `dedup`
-compares every line that has a word.  "First" is by doc_id, null last, then by
-line number.
+shingle, so it meets its exact copies.  Every line that has a word is compared;
+lines without one are no rows and are never removed.  "First" is by doc_id, null
+last, then by line number.
 
 Lines that are equal in this form are one node, named by a 64-bit hash.  BANDS
 keys of ROWS min-hashes each are computed per node: at similarity 0.8 two nodes
@@ -15,13 +15,16 @@ become rows; what follows (stars, exact verification, components) is as in linki
 
 Repeat rows (equal id and text) are one document: the same lines of each go.
 Rows that share an id but not a text are ordered by a hash of the text.  A null,
-empty or blank text has no lines.  Other columns pass through unchanged.
+empty or blank text has no lines, an empty table no rows.  A very long text is read
+on its own.  Other columns, whatever their names, pass through unchanged.
+
+A line that a large part of all lines copy is one node.  Nodes with more than one in
+HOT of all lines, HOT at most, are broadcast to where their lines lie; the lines of
+all others are joined by node, so no task holds a hot node or a hot component.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,10 +32,12 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from . import linking as L
-from .base import parts, shared_dir, store, table
+from .base import discard, new_path, parts, store, table
 
-CHARS, MIN_CHARS, PERCENT = 8, 20, 80
+CHARS, PERCENT = 8, 80
 BANDS, ROWS = 14, 4
+#: A node that holds more than one in HOT of all lines is hot; there are fewer than HOT of them.
+HOT = 1000
 #: Parts of the key space; what a task holds of the keys is its parts' share.
 PARTS = 1024
 _TURNS = K.permutations(BANDS * ROWS, 9)
@@ -51,8 +56,8 @@ def line_offsets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.append(pos, len(buf)), row, np.arange(len(row)) - first[row]
 
 
-def _read(batches, least: int):
-    """A row per line of `least` characters or more, and rows of packed (band key, node) records, one per part."""
+def _read(batches):
+    """A row per line with a word, and rows of packed (band key, node) records, one per part."""
     none = lambda n, kind: pa.nulls(n, kind)
     for batch in batches:
         buf, off = K.buffer_of(batch.column(2))
@@ -63,9 +68,9 @@ def _read(batches, least: int):
             begin, end = K.trimmed(part, lines)
             roll = K.Rolling(K.byte_values(part))
             x, n = K.char_shingles(part, begin, end, CHARS, roll)
-            long = n >= max(1, least - CHARS + 1)
-            x, n, row, number = x[np.repeat(long, n)], n[long], row[long], number[long]
-            node = roll.ranges(begin[long], end[long]).view(np.int64)
+            filled = n > 0  # a line without words has no shingles
+            n, row, number = n[filled], row[filled], number[filled]
+            node = roll.ranges(begin[filled], end[filled]).view(np.int64)
             at = pa.array(row + i)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -132,12 +137,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
 
-def judged(docs: DataFrame, least: int = 1) -> DataFrame:
-    """Every line with a word and at least `least` characters (1, or more than CHARS): doc_id, text_key, line, n_shingles, and first: the
+def judged(docs: DataFrame) -> DataFrame:
+    """Every line with a word: doc_id, text_key, line, n_shingles, and first: the
     (missing, doc_id, text_key, line) of the line that stays for it."""
     spark, rows = docs.sparkSession, _keyed(docs)
-    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
-    rows.mapInArrow(lambda batches: _read(batches, least), f"kind string, part int, records binary, {_LINE}").write.partitionBy("kind").parquet(path)
+    path = new_path(spark, "lines")
+    rows.mapInArrow(_read, f"kind string, part int, records binary, {_LINE}").write.partitionBy("kind").parquet(path)
     schema = f"kind string, part int, records binary, {_LINE}"
     read = spark.read.schema(schema).parquet(path)
     lines = read.where("kind = 'line'").select("node", "doc_id", "text_key", "line", "n_shingles")
@@ -156,9 +161,16 @@ def judged(docs: DataFrame, least: int = 1) -> DataFrame:
         return each.select(F.col("at.node").alias("doc"), F.element_at("lines", F.col("at.n")).alias("text"))
 
     found = L.components(alive, texts_of, L.char_shingles(CHARS), PERCENT, counted=False)
-    lines = lines.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
-    first = lines.groupBy("component").agg(F.min(name).alias("first"))
-    return lines.join(first, "component").drop("component")
+    discard(alive)
+    # One row per node from here on; lines only look up their node.
+    node = lines.groupBy("node").agg(F.min(name).alias("at"), F.count("*").alias("n")).join(found, "node", "left")
+    node = store(node.withColumn("component", F.coalesce("component", "node")), "lines-node")
+    first = node.groupBy("component").agg(F.min("at").alias("first"))
+    label = store(node.join(first, "component").select("node", "n", "first"), "lines-first")
+    discard(node)
+    hot = F.broadcast(label.where(F.col("n") * HOT > lines.count()).drop("n"))  # fewer than HOT rows
+    rest = lines.join(hot, "node", "left_anti").join(label.drop("n").hint("merge"), "node")
+    return lines.join(hot, "node").unionByName(rest).drop("node")
 
 
 def _stays() -> Column:
@@ -167,21 +179,20 @@ def _stays() -> Column:
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, line (from 0), n_shingles, kept, and the line that stays for it: kept_doc_id, kept_line."""
-    rows = judged(table(spark, sf_dir, "documents"), MIN_CHARS)
+    rows = judged(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "line", "n_shingles", _stays().alias("kept"), F.col("first.doc_id").alias("kept_doc_id"), F.col("first.line").alias("kept_line"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs without the lines that copy an earlier one. A document that had words
     and has none left goes; all others stay, with all their columns."""
-    gone = judged(docs).where(~_stays())
-    gone = gone.groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(F.collect_set("line").alias("_gone"))
-    match = F.col("_k").eqNullSafe(F.xxhash64("text")) & F.col("_d").eqNullSafe(F.col("doc_id").cast("long"))
-    both = docs.join(gone, match, "left")
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    both = both.withColumn("_left", text).where(F.col("_gone").isNull() | F.col("_left").rlike("[^ \\t-\\r]"))
-    return both.select(*[F.col("_left").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    gone = judged(docs).where(~_stays()).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("gone"))
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"))
+    both = own.join(gone, (F.col("k") == F.col("text_key")) & F.col("d").eqNullSafe(F.col("doc_id")), "left")
+    left = F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("gone", i))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
+    both = both.select("row", "gone", text.alias("left")).where(F.col("gone").isNull() | F.col("left").rlike("[^ \\t-\\r]"))
+    return both.select(*[F.col("left").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

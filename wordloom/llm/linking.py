@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .base import CONTROL, connected_components, store
+from .base import CONTROL, connected_components, discard, store
 
 HALF, M = 3, 14
 #: Min-hashes of a sketch, BITS of each; two unlike ones agree by chance in one of 16.
@@ -222,6 +222,9 @@ def components(alive: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shi
     mixed = rows.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
     docs = store(rows.join(mixed, "key").select("doc").distinct(), "link-mixed", files=CONTROL)
     rest = label.join(_bounds(docs, named, shingler, counted), "doc")
-    rest = store(_rest(rest, percent), "link-pairs", files=CONTROL).join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti")
+    pairs = store(_rest(rest, percent), "link-pairs", files=CONTROL)
+    rest = pairs.join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti")
     found = store(verified(rest, named, shingler, percent), "link-found", files=CONTROL)
-    return connected_components(edges.unionByName(found))
+    out = connected_components(edges.unionByName(found))
+    discard(stars, named, edges, docs, pairs, found)
+    return out

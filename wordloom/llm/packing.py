@@ -8,8 +8,9 @@ closest to capacity, trace back how many of each length it takes, and repeat tha
 window as often as the counts allow.  Every piece then finds its sequence and its
 offset from its rank among the pieces of its length.
 
-A null or empty text is its end id alone.  Repeat rows and null ids are packed
-like any others.  Extra columns are ignored.  An empty table gives no rows.
+A null or empty text is its end id alone; a very long one fills as many windows as it
+needs.  Repeat rows, pieces that tie and null ids are packed like any others.  Extra
+columns are ignored.  An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -1,13 +1,16 @@
 """Quality rules as weak supervision.
 
-Each rule votes +1 (good), -1 (bad) or abstains (0).  Expectation-maximisation
-over the votes of all documents estimates how often each rule gives each vote
-on good and on bad documents, without labels; a document's verdict is its
-posterior probability of being good.  Votes have at most 3 ** RULES patterns,
-so the model is fitted exactly on pattern counts: what reaches the driver is
-bounded by the number of rules, not by the corpus.
-
-A null or empty text has no words and fails the base test.  Repeat rows, null
+Each rule votes +1 (good), -1 (bad) or abstains (0).  Rules overlap: a defect is seen
+by several of them, and each errs on some documents.  Expectation-maximisation over
+the votes of all documents estimates, without labels, the accuracy of every rule on
+good and on bad documents (abstaining says nothing); a document's verdict is its
+posterior probability of being good, so one rule against the others does not reject
+it.  Votes have at most 3 ** len(RULES) patterns, so the model is fitted exactly on
+pattern counts: what reaches the driver is bounded by the number of rules, not by the
+corpus.
+
+A null or empty text has no words and fails the base test; an empty table gives no
+rows.  A very long text is measured whole, on its own.  Repeat rows, equal ids, null
 ids and extra columns need no care: each row is judged on its own text.
 """
 
@@ -21,11 +24,11 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .base import store, table
 
-RULES = ("symbols", "capitals", "exclamations", "table_rows", "repeated_words", "repeated_lines", "same_word_runs", "variety", "sentences")
-#: What a rule's author vouches for: its share of bad votes on good documents,
-#: held with the weight of the corpus. A defect that a single rule sees leaves
-#: the split between "bad" and "false alarm" open without it.
-FALSE_ALARM = 1e-4
+RULES = ("symbols", "letters", "marked_words", "word_length", "capitals", "exclamations", "repeated_words", "repeated_lines", "variety", "sentences")
+#: Pseudo-counts, in documents: (right, wrong) votes of a rule on good and on bad
+#: documents, and (good, bad) documents. They keep estimates finite and say which
+#: class is the bad one; a handful of documents outweighs them.
+ON_GOOD, ON_BAD, CLASSES = (4.0, 1.0), (2.0, 1.0), (2.0, 1.0)
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ", ".join(f"{c} long" for c in COUNTS) + ", pattern int"
@@ -80,14 +83,14 @@ def measure(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     out["lines"] = np.bincount(line_row[filled], minlength=n)
     _, seen = _repeats(h ^ tag[rows])
     out["distinct"] = out["n_words"] - np.bincount(rows[seen], minlength=n)
-    # longest run of one word
-    out["run"] = np.minimum(out["n_words"], 1)
-    if len(h):
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])))
-        at = np.flatnonzero(new)
-        np.maximum.at(out["run"], rows[at], np.diff(np.append(at, len(h))))
-    upper, lower = _per_row((buf >= 65) & (buf <= 90), off), _per_row((buf >= 97) & (buf <= 122), off)
-    out |= {"upper": upper, "letters": upper + lower, "bangs": count(33), "pipes": count(124), "stops": count(46) + count(63)}
+    upper, lower = (buf >= 65) & (buf <= 90), (buf >= 97) & (buf <= 122)
+    letter = upper | lower | (buf >= 0xC0)  # beyond ASCII a lead byte stands for a letter
+    # words that hold a symbol, or no letter
+    many_symbols, many_letters = (np.concatenate(([0], np.cumsum(x, dtype=np.int64))) for x in (_SYMBOL[buf], letter))
+    marked = (many_symbols[e] > many_symbols[s]) | (many_letters[e] == many_letters[s])
+    out["marked"] = np.bincount(rows[marked], minlength=n)
+    out["letters"] = _per_row(letter & K._WORD[buf], off)
+    out |= {"upper": _per_row(upper, off), "bangs": count(33), "stops": count(46) + count(63)}
     return out
 
 
@@ -100,17 +103,20 @@ def votes(m: dict[str, np.ndarray]) -> np.ndarray:
 
     long = m["n_words"] >= 20
     per_stop = words / np.maximum(m["stops"], 0.5)
+    chars = np.maximum(m["word_chars"], 1)
+    odd_length = np.abs(m["word_chars"] / words - 5.5)
     return np.stack(
         [
-            rule((m["n_symbols"] - m["pipes"]) / words, 0.05, 0.2),
-            rule(m["upper"] / np.maximum(m["letters"], 1), 0.15, 0.4, m["letters"] > 0),
-            rule(m["bangs"] / words, 0.05, 0.2),
-            rule(m["pipes"] / words, 0.02, 0.15),
-            rule(m["n_repeat_words"] / words, 0.2, 0.48, long),
-            rule(m["n_dup_lines"] / np.maximum(m["lines"], 1), 0.35, 0.6, m["lines"] >= 3),
-            rule(m["run"], 5, 10, long),
-            rule(-m["distinct"] / words, -0.35, -0.15, long),
-            rule(per_stop, 30, 150, long & (m["stops"] > 0)),
+            rule(m["n_symbols"] / words, 0.05, 0.2),
+            rule(-m["letters"] / chars, -0.88, -0.8),
+            rule(m["marked"] / words, 0.05, 0.2),
+            rule(odd_length, 1.2, 1.6, long),
+            rule(m["upper"] / np.maximum(m["letters"], 1), 0.1, 0.3, m["letters"] > 0),
+            rule(m["bangs"] / words, 0.02, 0.1),
+            rule(m["n_repeat_words"] / words, 0.05, 0.1, long),
+            rule(m["n_dup_lines"] / np.maximum(m["lines"], 1), 0.1, 0.2, m["lines"] >= 3),
+            rule(-m["distinct"] / words, -0.65, -0.55, long),
+            rule(per_stop, 25, 40, long),
         ],
         axis=1,
     ).astype(np.int64)
@@ -130,55 +136,47 @@ def _features(text_at: int):
     return of
 
 
-def base_failed(n_words: np.ndarray, n_repeat: np.ndarray) -> np.ndarray:
-    return (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
-
-
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Posterior P(good) of each vote pattern, and the estimated accuracies.
-
-    Rules look for unlike defects, so bad documents do not share one profile of
-    votes. The latent class is therefore good, or bad in the way of rule r; votes
-    are independent given the class. Pseudo-counts keep every estimate finite
-    and name the classes: a rule seldom votes bad on good documents (FALSE_ALARM)
-    and nearly always on those that are bad in its way. The sizes of the classes,
-    and how each rule votes on the other rules' bad documents, come from the votes."""
-    n = len(RULES)
-    v = patterns[:, None] // 3 ** np.arange(n) % 3  # 0 bad, 1 abstain, 2 good
-    one = np.eye(3)[v]  # (patterns, rules, 3)
-    weight = counts.astype(float)
-    prior = np.tile(np.array([0.2, 0.8, 9.0]), (n + 1, n, 1))  # on another rule's bad documents a rule votes as on good ones, until seen otherwise
-    held = max(weight.sum(), 1.0)
-    prior[0] = np.array([FALSE_ALARM, 0.1, 0.9 - FALSE_ALARM]) * held
-    prior[np.arange(1, n + 1), np.arange(n)] = np.array([0.95, 0.049, 0.001]) * held
-    size = np.array([5.0] + [0.5] * n)
-    post = np.concatenate((np.full((len(v), 1), 0.1), v == 0), axis=1)
-    post /= post.sum(1, keepdims=True)
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Posterior P(good) of each vote pattern, and what was estimated: the share of good
+    documents, and the accuracy of each rule (of its votes, not counting abstentions) on
+    good and on bad documents.
+
+    Two classes, votes independent given the class.  A rule that votes alike on both has
+    no say; one that a class contradicts most of the time speaks against it.  EM starts
+    from the share of bad votes of each pattern and runs until no posterior moves by
+    1e-9 (or for `rounds` rounds)."""
+    v = patterns[:, None] // 3 ** np.arange(len(RULES)) % 3  # 0 bad, 1 abstain, 2 good
+    good, bad, weight = (v == 2).astype(float), (v == 0).astype(float), counts.astype(float)
+    post = 1 - bad.sum(1) / np.maximum((good + bad).sum(1), 1)
     for _ in range(rounds):
-        each = post * weight[:, None]
-        rate = np.einsum("pc,prk->crk", each, one) + prior
-        rate /= rate.sum(2, keepdims=True)
-        share = (each.sum(0) + size) / (weight.sum() + size.sum())
-        score = np.einsum("prk,crk->pc", one, np.log(rate)) + np.log(share)
-        new = np.exp(score - score.max(1, keepdims=True))
-        new /= new.sum(1, keepdims=True)
-        done = np.abs(new - post).max(initial=0) < 1e-9
-        post = new
-        if done:
+        yes, no = post * weight, (1 - post) * weight
+        on_good = (yes @ good + ON_GOOD[0]) / (yes @ (good + bad) + sum(ON_GOOD))
+        on_bad = (no @ bad + ON_BAD[0]) / (no @ (good + bad) + sum(ON_BAD))
+        share = (yes.sum() + CLASSES[0]) / (weight.sum() + sum(CLASSES))
+        odds = np.log(share / (1 - share)) + good @ np.log(on_good / (1 - on_bad)) + bad @ np.log((1 - on_good) / on_bad)
+        new = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        moved, post = np.abs(new - post).max(initial=0), new
+        if moved < 1e-9:
             break
-    bad_votes = np.einsum("pc,pr->cr", post * weight[:, None], v == 0)
-    return post[:, 0], {"share": share, "bad_vote_precision": 1 - bad_votes[0] / np.maximum(bad_votes.sum(0), 1e-9)}
+    return post, {"share": share, "on_good": on_good, "on_bad": on_bad}
 
 
-def _fitted(features: DataFrame) -> dict[int, float]:
-    """Posterior by pattern; at most 3 ** RULES rows reach the driver. Documents
-    that fail the base test are judged already and are no part of the fit."""
+def _patterns(features: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Vote patterns and their counts; at most 3 ** len(RULES) rows reach the driver.
+    Documents that fail the base test are judged already and are no part of the fit."""
     ok = F.expr(f"n_words >= {MIN_WORDS} and 100 * n_repeat_words <= {MAX_REPEAT_PERCENT} * n_words")
-    rows = sorted(features.where(ok).groupBy("pattern").count().collect())
-    if not rows:
-        return {}
-    patterns, counts = np.array(rows, dtype=np.int64).T
-    return dict(zip(patterns.tolist(), fit(patterns, counts)[0].tolist(), strict=True))
+    rows = sorted(tuple(r) for r in features.where(ok).groupBy("pattern").count().collect())
+    return tuple(np.array(rows, dtype=np.int64).reshape(-1, 2).T)
+
+
+def accuracies(docs: DataFrame) -> DataFrame:
+    """rule, good_votes, bad_votes, abstained, accuracy_on_good, accuracy_on_bad, as estimated from the votes on docs."""
+    patterns, counts = _patterns(features(docs))
+    v = patterns[:, None] // 3 ** np.arange(len(RULES)) % 3
+    _, model = fit(patterns, counts)
+    number = lambda kind: ((v == kind) * counts[:, None]).sum(0).tolist()
+    rows = list(zip(RULES, number(2), number(0), number(1), model["on_good"].tolist(), model["on_bad"].tolist(), strict=True))
+    return docs.sparkSession.createDataFrame(rows, "rule string, good_votes long, bad_votes long, abstained long, accuracy_on_good double, accuracy_on_bad double")
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -197,9 +195,9 @@ def features(docs: DataFrame) -> DataFrame:
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, the base figures, base_failed, the posterior and kept for every row of docs."""
     found = store(features(docs), "quality", scanned=True)
-    posterior = _fitted(found)
-    rows = [(k, v) for k, v in posterior.items()]
-    model = docs.sparkSession.createDataFrame(rows, "pattern int, quality double")  # at most 3 ** RULES rows
+    patterns, counts = _patterns(found)
+    rows = list(zip(patterns.tolist(), fit(patterns, counts)[0].tolist(), strict=True))
+    model = docs.sparkSession.createDataFrame(rows, "pattern int, quality double")  # at most 3 ** len(RULES) rows
     failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
     out = found.join(F.broadcast(model), "pattern", "left").withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & F.coalesce(F.col("quality") >= 0.5, F.lit(False))
@@ -211,15 +209,23 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rejected documents go. The model is fitted on all rows;
-    then each row is measured again where it lies, so no text is shuffled."""
-    good = {k for k, v in _fitted(features(docs)).items() if v >= 0.5}
+    """Pipeline stage: documents that fail the base test or are more likely bad than
+    good go; the others stay with all their columns.  Each text is measured once: rows
+    are stored with what their rules voted, the model is fitted on all votes, and the
+    verdict is a filter on the stored rows.  No text is shuffled.  Special rows: see
+    the module's text."""
     of = _features(docs.columns.index("text"))
 
     def run(batches):
         for batch in batches:
-            x = dict(zip([*COUNTS, "pattern"], of(batch), strict=True))
-            ok = ~base_failed(x["n_words"], x["n_repeat_words"]) & np.isin(x["pattern"], list(good))
-            yield batch.filter(pa.array(ok))
-
-    return docs.mapInArrow(run, docs.schema)
+            found = [pa.array(x.astype(np.int64)) for x in of(batch)]
+            row = pa.StructArray.from_arrays(batch.columns, names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([row, *found[:-1], found[-1].cast(pa.int32())], ["row", *COUNTS, "pattern"])
+
+    measured = docs.mapInArrow(run, f"row {docs.schema.simpleString()}, {FEATURES}")
+    measured = store(measured, "quality-stage", scanned=True)
+    patterns, counts = _patterns(measured)
+    good = [int(p) for p, q in zip(patterns, fit(patterns, counts)[0], strict=True) if q >= 0.5]
+    model = spark.createDataFrame([(p,) for p in good], "pattern int")  # at most 3 ** len(RULES) rows
+    ok = f"n_words >= {MIN_WORDS} and 100 * n_repeat_words <= {MAX_REPEAT_PERCENT} * n_words"
+    return measured.where(ok).join(F.broadcast(model), "pattern", "left_semi").select("row.*")

@@ -5,7 +5,9 @@ table.  When a shard is appended, a row either stays or moves into the new one.
 Texts never move: only keys, sizes and checksums are shuffled, to number slots.
 
 A null key is one more key value (all such rows share a shard).  A null text
-counts as empty.  Repeat rows share a shard and get slots of their own.
+counts as empty; a very long one is only measured.  Repeat rows, and rows that tie in
+id, size and checksum, share a shard and get slots of their own.  An empty table gives
+no rows.  `assign` ignores extra columns; `write_shards` writes all, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .base import parts, table
+from .base import fresh, parts, table
 
 ROW_BYTES = 16
 
@@ -78,10 +80,13 @@ def assign(docs: DataFrame, shards: int) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, shards: int, *keys: str) -> None:
     """Writes docs as one folder per shard. Rows go to writers by shard and a
-    salt, so a shard is written by several tasks and each task opens one folder."""
-    salt = F.pmod(F.xxhash64(*docs.columns), F.lit(max(1, parts(docs.sparkSession) // shards + 1)))
-    out = docs.withColumn("shard", shard_of(shards, *keys)).withColumn("_salt", salt)
-    out.repartition("shard", "_salt").drop("_salt").write.partitionBy("shard").mode("overwrite").parquet(path)
+    salt, so a shard is written by several tasks and each task opens one folder. The
+    folders are named by `shard`, or by shard_ where docs has a column of that name."""
+    salt = F.pmod(F.xxhash64(*[f"`{c}`" for c in docs.columns]), F.lit(max(1, parts(docs.sparkSession) // shards + 1)))
+    shard = fresh(docs.columns, "shard")
+    part = fresh([*docs.columns, shard], "salt")
+    out = docs.withColumn(shard, shard_of(shards, *keys)).withColumn(part, salt)
+    out.repartition(shard, part).drop(part).write.partitionBy(shard).mode("overwrite").parquet(path)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,16 @@
 """Token ids of whole texts, and fixed-length id matrices packed best-fit-decreasing.
 
 The vocabulary file splits text at white space before anything else, so a text's
-ids are those of its white-space separated chunks, one after another.  Chunks
+ids are those of its white-space separated chunks, one after another; strings of
+special tokens are found within chunks, as the tokenizer finds them in a text.  Chunks
 repeat far more often than texts do: each worker keeps the ids of the chunks it
-has met and hands only new ones to the tokenizer.
+has met and hands only new ones to the tokenizer.  A chunk is known by a 64-bit hash;
+its length and first eight bytes are compared besides.
 """
 
 from __future__ import annotations
 
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .base import shared_dir, table
+from .base import new_path, parts, table
 
 CAPACITY = 4096
 END = 2
@@ -35,34 +36,49 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _heads(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """The length and the first eight bytes of each chunk, mixed."""
+    first = np.lib.stride_tricks.sliding_window_view(np.append(buf, np.zeros(8, np.uint8)), 8)[s].view("<u8").reshape(-1)
+    size = np.minimum(e - s, 8)
+    mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    return K.mix((first & mask[size]) + (e - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 class ChunkIds:
-    """Ids of white-space separated chunks, by their 64-bit hash."""
+    """Ids of white-space separated chunks, by their hash; `heads` tells apart what a hash may not."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in a text, their strings are ordinary text
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.heads, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, heads: np.ndarray, texts: list[str]) -> None:
         """keys: ascending and new."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((x for y in ids for x in y), np.uint32, int(n.sum()))
         at = len(self.flat) + np.cumsum(n) - n
         where = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.n = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.n, where, n)
+        self.keys, self.heads = np.insert(self.keys, where, keys), np.insert(self.heads, where, heads)
+        self.at, self.n = np.insert(self.at, where, at), np.insert(self.n, where, n)
         self.flat = np.concatenate((self.flat, flat))
 
+    def _whole(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`encode` without chunks."""
+        raw = buf.tobytes()
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:], strict=True)], add_special_tokens=False)]
+        return np.array([x for y in ids for x in [*y, END]], np.uint32), np.array([len(y) + 1 for y in ids], np.int64)
+
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows in one array, END after each row, and the number per row."""
         s, e, rows = K.words(buf, off)
+        heads = _heads(buf, s, e)
         keys, first, inverse = np.unique(K.word_hashes(buf, s, e), return_index=True, return_inverse=True)
         if len(self.keys) > CACHE:
             self.clear()
@@ -72,9 +88,11 @@ class ChunkIds:
         new[inside] = self.keys[at[inside]] != keys[inside]
         if new.any():
             raw = buf.tobytes()
-            self._learn(keys[new], [raw[s[i] : e[i]].decode("utf-8", "replace") for i in first[new]])
+            self._learn(keys[new], heads[first[new]], [raw[s[i] : e[i]].decode("utf-8", "replace") for i in first[new]])
             at = np.searchsorted(self.keys, keys)
         at = at[inverse]
+        if (self.heads[at] != heads).any():  # two chunks with one hash
+            return self._whole(buf, off)
         n, begin = self.n[at], self.at[at]
         per_row = np.bincount(rows, weights=n, minlength=len(off) - 1).astype(np.int64) + 1
         out = np.full(int(per_row.sum()), END, np.uint32)
@@ -102,6 +120,19 @@ def encoded(column: pa.Array, path: str) -> Iterator[np.ndarray]:
             yield ids[a:b]
 
 
+def id_type(path: str) -> np.dtype:
+    """The narrowest unsigned little-endian type that holds every id of the vocabulary."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkIds(path)
+    return np.dtype("<u2" if max(_ENCODERS[path].tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "<u4")
+
+
+def position_ids(resets: list[int], capacity: int = CAPACITY) -> np.ndarray:
+    """The position of each id of a sequence, counted from the last reset at or before it."""
+    at = np.arange(capacity)
+    return at - np.asarray(resets)[np.searchsorted(resets, at, "right") - 1]
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -151,7 +182,7 @@ class BestFit:
 
 
 def _pack(capacity: int, path: str):
-    names = ["block", "row", "input_ids", "n_tokens", "cu_seqlens", "doc_ids", "doc_starts", "doc_tokens", "ids_crc32"]
+    names = ["block", "row", "input_ids", "id_bytes", "n_tokens", "cu_seqlens", "position_resets", "doc_ids", "doc_starts", "doc_tokens", "ids_crc32"]
 
     def finish(pieces: list, block: int) -> pa.RecordBatch:
         """pieces: (doc id, start, ids, tokens of the document)."""
@@ -162,7 +193,8 @@ def _pack(capacity: int, path: str):
             if number == len(rows):
                 rows.append([])
             rows[number].append((offset, k))
-        matrix = np.zeros((len(rows), capacity), "<u2")
+        width = id_type(path)
+        matrix = np.zeros((len(rows), capacity), width)
         cu, own = [], []
         for r, placed in enumerate(rows):
             cu.append([x for x, _ in placed])
@@ -176,8 +208,10 @@ def _pack(capacity: int, path: str):
                 pa.array([block] * len(rows), pa.int64()),
                 pa.array(range(len(rows)), pa.int64()),
                 pa.array([x.tobytes() for x in matrix], pa.binary()),
+                pa.array([width.itemsize] * len(rows), pa.int32()),
                 pa.array([x[-1] for x in cu], pa.int32()),
                 pa.array(cu, pa.list_(pa.int32())),
+                pa.array([[x for x in c if x < capacity] for c in cu], pa.list_(pa.int32())),
                 longs([[p[0] for p in x] for x in own]),
                 longs([[p[1] for p in x] for x in own]),
                 longs([[p[3] for p in x] for x in own]),
@@ -203,22 +237,23 @@ def _pack(capacity: int, path: str):
         if held:
             yield finish(held, first + block)
 
-    schema = "block long, row long, input_ids binary, n_tokens int, cu_seqlens array<int>, doc_ids array<long>, doc_starts array<long>, doc_tokens array<long>, ids_crc32 array<long>"
+    schema = "block long, row long, input_ids binary, id_bytes int, n_tokens int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_starts array<long>, doc_tokens array<long>, ids_crc32 array<long>"
     return run, schema
 
 
 def write_packed(docs: DataFrame, path: str, capacity: int = CAPACITY, vocab: str | None = None) -> None:
     """Writes the packed id matrix of docs (doc_id, text) as a table.
 
-    A row is a sequence: input_ids (capacity ids of two bytes, zero after the
-    last segment), cu_seqlens (segment k covers cu_seqlens[k] up to
-    cu_seqlens[k + 1]; the last entry is the number of ids in use, and positions
-    restart at each), and for each segment its document, its start in it, the
-    document's length and the checksum of its ids.
+    A row is a sequence: input_ids (capacity ids of id_bytes bytes each, two or four as
+    the vocabulary needs, zero after the last segment), cu_seqlens (segment k covers
+    cu_seqlens[k] up to cu_seqlens[k + 1]; the last entry is the number of ids in use),
+    position_resets (where the position counter returns to 0: at each segment, and at the
+    padding; `position_ids` expands them), and for each segment its document, its start
+    in it, the document's length and the checksum of its ids.
 
-    Documents longer than a sequence are cut at multiples of capacity, losing
-    nothing; a null text is its end id alone; ids, repeat rows and extra columns
-    need no care. Each task packs what it reads in blocks of about BLOCK_TOKENS,
+    Documents longer than a sequence, however long, are cut at multiples of capacity,
+    losing nothing; a null or empty text is its end id alone; ids, repeat rows, pieces of
+    equal length and extra columns need no care; an empty table gives an empty one. Each task packs what it reads in blocks of about BLOCK_TOKENS,
     so nothing is shuffled, and a task that is run again writes the same rows."""
     run, schema = _pack(capacity, vocab or vocabulary())
     docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema).write.parquet(path)
@@ -226,9 +261,13 @@ def write_packed(docs: DataFrame, path: str, capacity: int = CAPACITY, vocab: st
 
 def segments(packed: DataFrame) -> DataFrame:
     """One row per segment of a packed table, with sequences numbered gaplessly over all blocks."""
-    per_block = packed.groupBy("block").count()
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block of some million tokens
-    shift = per_block.select("block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift"))
+    # Blocks are numbered within groups of them, and groups among each other: a row per group meets in one task.
+    groups = max(16, parts(packed.sparkSession))
+    per_block = packed.groupBy("block").count().withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    within = Window.partitionBy("group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    among = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)  # `groups` rows at most
+    base = per_block.groupBy("group").agg(F.sum("count").alias("rows")).select("group", F.coalesce(F.sum("rows").over(among), F.lit(0)).alias("base"))
+    shift = per_block.join(F.broadcast(base), "group").select("block", (F.col("base") + F.coalesce(F.sum("count").over(within), F.lit(0))).alias("shift"))
     rows = packed.select("block", "row", "cu_seqlens", F.arrays_zip("doc_ids", "doc_starts", "doc_tokens", "ids_crc32").alias("s"))
     rows = rows.join(shift, "block").select((F.col("row") + F.col("shift")).alias("sequence_id"), "cu_seqlens", F.posexplode("s").alias("k", "s"))
     start, end = F.element_at("cu_seqlens", F.col("k") + 1), F.element_at("cu_seqlens", F.col("k") + 2)
@@ -244,7 +283,7 @@ def segments(packed: DataFrame) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/packed-{uuid.uuid4().hex}"
+    path = new_path(spark, "packed")
     write_packed(table(spark, sf_dir, "documents"), path)
     return segments(spark.read.parquet(path))
 
