@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from ..plans.dialect import Dialect
-from ..plans.domain import sql_query
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..plans.catalog import query
+from ..plans.dialect import DUCKDB, Dialect
+from ..plans.domain import run_sql, sql_query, with_views
+from ..plans.storage import store
 
 #: Links reach this many edges from an authority word at most.
 MAX_DEPTH = 4
@@ -61,13 +66,6 @@ Q = {
                     from source_words s join word_links k on k.source_id = s.id join translation_words w on w.id = k.tw_id and w.translation_id = 1
                     join link_confidence c on c.link_id = k.id and c.method = 'manual' group by s.strongs, s.id) o group by strongs, phrase) p) t
         left join strongs_entries e on e.strongs_id = {d.replace_all('t.strongs', '^([HG])0*', chr(92) + '1')} where t.rn <= 5""",
-    "c4_propagated_suggestions": lambda d: f"""
-        {_reach(d, "select source_id, tw_id as word_id from word_links where id < 1000000000000")}
-        select r.source_id, w.translation_id, r.word_id, min(r.depth) as depth from reached r join translation_words w on w.id = r.word_id
-        where r.depth > 0 and not exists (select 1 from word_links k where k.source_id = r.source_id and k.tw_id = r.word_id) group by r.source_id, w.translation_id, r.word_id""",
-    "u4_reachability": lambda d: f"""
-        {_reach(d, "select source_id, tw_id as word_id from word_links")}
-        select source_id, word_id, min(depth) as depth from reached group by source_id, word_id""",
     "c5_topology": lambda d: """
         select 'star' as topology, a.code as a, b.code as b, b.id as rank from translations a join translations b on a.family = b.family and a.pivot and b.id <> a.id
         union all select 'chain' as topology, a.code as a, b.code as b, a.seq as rank from translations a join translations b on b.family = a.family and b.seq = a.seq + 1""",
@@ -78,27 +76,10 @@ Q = {
         {_SCORED}
         select book_id, chapter, verse, count(*) as positions, round(sum(score), 6) as total, round(100 * sum(score) / count(*), 6) as percent from best group by book_id, chapter, verse""",
     "c14_unlinked": lambda d: f"{_SCORED} select id from best group by id having max(score) = 0",
-    "c17_boundary_candidates": lambda d: f"""
-        select a.verse_id, b.verse_id as next_verse_id, b.words from (
-            select verse_id, {d.arg_max('word_text', 'word_position')} as last_word, max(verse) as verse, max(translation_id) as t from translation_words group by verse_id) a
-        join (select verse_id, max(verse) as verse, max(translation_id) as t, count(*) as words from translation_words group by verse_id) b on b.t = a.t and b.verse = a.verse + 1
-        where {d.matches('a.last_word', '^w[0-9]*7$')} and b.words <= 3""",
-    "c18_word_to_dictionary": lambda d: """
-        select id, strategy, strongs_id from (select id, strategy, strongs_id, row_number() over (partition by id order by priority, strongs_id) as rn from (
-            select s.id, 'chapter' as strategy, 1 as priority, x.strongs as strongs_id from source_words s join (select distinct book_id, chapter, word_text, strongs from source_words where lang = 'HE') x
-                on x.book_id = s.book_id and x.chapter = s.chapter and x.word_text = s.word_text where s.lang = 'GR'
-            union all select s.id, 'book' as strategy, 3 as priority, x.strongs as strongs_id from source_words s join (select distinct book_id, word_text, strongs from source_words where lang = 'HE') x
-                on x.book_id = s.book_id and x.word_text = s.word_text where s.lang = 'GR'
-            union all select s.id, 'lexicon' as strategy, 2 as priority, e.strongs_id from source_words s join strongs_entries e on e.strongs_id = concat('G', substr(s.word_text, 2)) where s.lang = 'GR') c) r
-        where rn = 1""",
     "c22_alignment_coverage": lambda d: """
         select s.book_id, count(*) as joined, count(k.id) as aligned, count(distinct s.id) as words, count(distinct k.source_id) as words_aligned
         from source_words s left join word_links k on k.source_id = s.id group by s.book_id""",
     "c26_incremental_by_status": lambda d: "select status, count(*) as n, min(id) as next_id from segment group by status",
-    "c27_lock_conflict": lambda d: f"""
-        select scope_type, scope_id, user_id, event_id from (
-            select *, row_number() over (order by acquired, event_id) as rn from review_lock
-            where user_id <> 5 and (scope_id = 'click.3.1' or scope_id like 'click.3.1.%' or scope_id = 'click' or scope_id like 'click.3%')) t where rn = 1""",
     "m23_lock_status": lambda d: """
         select scope_type, scope_id, user_id, expires from (select *, row_number() over (partition by scope_type, scope_id order by acquired desc, event_id desc) as rn from review_lock) t where rn = 1""",
     "c29_chapter_navigation": lambda d: """
@@ -160,9 +141,6 @@ Q = {
             union all select strongs, '__empty__' as form, count(*) as n from source_words s where not exists (select 1 from word_links k where k.source_id = s.id) group by strongs) u group by strongs, form""",
     "r21_verse_walk": lambda d: """
         select verse, ordinal from (select verse, cast(row_number() over (order by book_id, chapter, verse) as bigint) as ordinal from verses where book_id = 2) t where ordinal between 5 and 34""",
-    "r22_sunday_banding": lambda d: """
-        select q.q, max(s.start) as start from (select distinct cast(l_linenumber as bigint) * 10 + cast(l_quantity as bigint) as q from lineitem) q
-        join (select distinct cast(l_quantity as bigint) * 3 as start from lineitem) s on s.start <= q.q group by q.q""",
     "r26_parser_diagnostics": lambda d: f"select count(*) as notes, count(*) filter (where {d.matches('text', '[0-9]+')}) as resolved from segment",
     "s19_lemma_view": lambda d: "select lemma, count(*) as freq, count(distinct segment_id) as n_segments from token where is_word group by lemma",
     "s4_fetch_join": lambda d: "select k.id, k.source_id, w.word_text, c.method, c.score from word_links k left join link_confidence c on c.link_id = k.id left join translation_words w on w.id = k.tw_id",
@@ -181,25 +159,9 @@ Q = {
         select segment_id, position, cast(sum(length(word) + 1) over (partition by segment_id order by position rows between unbounded preceding and current row) - length(word) - 1 as bigint) as char_start from token""",
     "f11_latin_form": lambda d: "select distinct lemma, translate(lower(lemma), 'vj', 'ui') as norm from token where is_word",
     "f16_separators": lambda d: f"select id, {d.replace_all('word_text', '[/.]')} as clean from source_words",
-    "f17_similarity": lambda d: """
-        select a, b, 1.0 - levenshtein(a, b) / cast(greatest(length(a), length(b)) as double) as similarity from (
-            select distinct a.word_text as a, b.word_text as b from itl i join translation_words a on a.id = i.word_a_id join translation_words b on b.id = i.word_b_id) t""",
-    "f19_word_similarity": lambda d: """
-        select id, case when a = b then 2 when substr(a, 1, 3) = substr(b, 1, 3) then 1 else -1 end as score from (
-            select i.id, a.word_text as a, b.word_text as b from itl i join translation_words a on a.id = i.word_a_id join translation_words b on b.id = i.word_b_id) t""",
-    "f21_keyword_in_context": lambda d: """
-        select doc_id, p, substr(text, cast(greatest(p - 45, 1) as int), cast(least(p - 1, 45) as int)) as before, substr(text, cast(p + 3 as int), 45) as after, p > 46 as cut_before, p + 47 < length(text) as cut_after
-        from (select doc_id, text, cast(instr(text, 'the') as bigint) as p from documents) t where p > 0""",
-    "f22_first_meaning": lambda d: f"""
-        select strongs_id, case when length(m) > 12 then concat({d.replace_all('substr(m, 1, 12)', ' [^ ]*$')}, '…') else m end as meaning from (
-            select strongs_id, {d.replace_all('short_def', '^(\\([^)]*\\) *)+')} as m from strongs_entries) t""",
     "f30_reference_code": lambda d: f"""
         select distinct book_id, concat(usfm_code, '.', {d.text('chapter')}, '.', {d.text('lo')}, '-', {d.text('hi')}) as ref from (
             select v.book_id, b.usfm_code, v.chapter, min(v.verse) as lo, max(v.verse) as hi from verses v join books b on b.id = v.book_id group by 1, 2, 3) t""",
-    "f33_roman_numerals": lambda d: """
-        select n, concat(case cast(floor(n / 10) as int) when 0 then '' when 1 then 'X' when 2 then 'XX' when 3 then 'XXX' when 4 then 'XL' else 'L' end,
-            case n % 10 when 0 then '' when 1 then 'I' when 2 then 'II' when 3 then 'III' when 4 then 'IV' when 5 then 'V' when 6 then 'VI' when 7 then 'VII' when 8 then 'VIII' else 'IX' end) as roman
-        from (select distinct cast(l_quantity as bigint) as n from lineitem) t""",
     "f36_features": lambda d: f"select doc_id, {d.extract('props', 'Case=([A-Za-z]+)')} as feature_case, {d.extract('props', 'Number=([A-Za-z]+)')} as feature_number from (select doc_id, concat('Case=Nom|Number=', case when doc_id % 2 = 0 then 'Sing' else 'Plur' end) as props from documents) t",
     "f40_marker_stripping": lambda d: f"select id, {d.replace_all(d.replace_all(chr(34) + 'text' + chr(34) if False else 'marked', '⟦H:[^⟧]*⟧', ' '), '⟦C:([^‖]*)‖[^⟧]*⟧', chr(92) + '1')} as plain from (select id, concat('⟦H:', heading, '⟧', '⟦C:new‖old⟧ ', status) as marked from segment) t",
     "f44_letter_ordinal": lambda d: "select distinct l_linenumber as n, case when l_linenumber <= 26 then chr(cast(96 + l_linenumber as int)) else concat('a', chr(cast(96 + l_linenumber - 26 as int))) end as letter from lineitem",
@@ -212,3 +174,47 @@ Q = {
 
 for _name, _text in Q.items():
     sql_query(_name, _text)
+
+
+_EDGES = """select word_a_id as a, word_b_id as b from itl where method <> 'manual_empty'
+    union all select word_b_id as a, word_a_id as b from itl where method <> 'manual_empty'"""
+
+
+def reached(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source_id, word_id, depth): words within MAX_DEPTH edges of a source word's own links,
+    with the length of the shortest way.
+
+    seeds: (source_id, word_id); edges: (a, b), in both directions. Breadth first: of a step
+    only the new pairs go on. Each step is stored, so the plan of one does not hold those before."""
+    edges = store(edges.distinct(), "reach-edges")
+    front = store(seeds.distinct().withColumn("depth", F.lit(0)), "reach-0")
+    found = front
+    for depth in range(1, MAX_DEPTH + 1):
+        step = front.join(edges, F.col("word_id") == F.col("a")).select("source_id", F.col("b").alias("word_id")).distinct()
+        front = store(step.join(found, ["source_id", "word_id"], "left_anti").withColumn("depth", F.lit(depth)), f"reach-{depth}")
+        found = found.unionByName(front)
+    return found
+
+
+_OWN = "select source_id, tw_id as word_id from word_links"
+
+
+@query(
+    "c4_propagated_suggestions",
+    with_views(
+        f"""{_reach(DUCKDB, "select source_id, tw_id as word_id from word_links where id < 1000000000000")}
+        select r.source_id, w.translation_id, r.word_id, min(r.depth) as depth from reached r join translation_words w on w.id = r.word_id
+        where r.depth > 0 and not exists (select 1 from word_links k where k.source_id = r.source_id and k.tw_id = r.word_id) group by r.source_id, w.translation_id, r.word_id""",
+        DUCKDB,
+    ),
+)
+def c4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reached(run_sql(spark, sf_dir, f"{_OWN} where id < 1000000000000"), run_sql(spark, sf_dir, _EDGES)).where("depth > 0")
+    new = found.join(run_sql(spark, sf_dir, _OWN).distinct(), ["source_id", "word_id"], "left_anti")
+    words = run_sql(spark, sf_dir, "select id as word_id, translation_id from translation_words")
+    return new.join(words, "word_id").select("source_id", "translation_id", "word_id", "depth")
+
+
+@query("u4_reachability", with_views(f"{_reach(DUCKDB, _OWN)} select source_id, word_id, min(depth) as depth from reached group by source_id, word_id", DUCKDB))
+def u4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reached(run_sql(spark, sf_dir, _OWN), run_sql(spark, sf_dir, _EDGES))

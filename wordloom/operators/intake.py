@@ -10,9 +10,9 @@ from ..plans.domain import run_sql
 from ..sources import readers
 
 
-@query("s1_scan", "select o_orderkey, o_totalprice from orders where o_orderstatus = 'F' and o_orderkey < 5000")
+@query("s1_scan", "select o_orderkey, o_totalprice from orders where o_orderstatus = 'F'")
 def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'F' and o_orderkey < 5000").select("o_orderkey", "o_totalprice")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
 
 
 @query("s3_find_by", "select c_custkey, c_name from customer where c_mktsegment = 'BUILDING' order by c_custkey")

@@ -15,8 +15,6 @@ from . import alignment, state
 Q = {
     "s2_lazy_scan": lambda d: "select id, verse_id from translation_words where translation_id = 3",
     "s20_cached_aggregate": lambda d: "select book_id, count(*) as words from source_words group by book_id",
-    "f20_confusable_digits": lambda d: f"""
-        select a, b, cast(levenshtein(a, b) as bigint) as distance from (select distinct {d.text('l_partkey % 300')} as a, {d.text('l_suppkey')} as b from lineitem where l_linenumber = 1) t where levenshtein(a, b) <= 1""",
     "f46_crop_to_words": lambda d: f"select doc_id, {d.replace_all(d.replace_all('substr(text, 11, 60)', '^[^ ]* '), ' [^ ]*$')} as crop from documents",
     "f47_array_to_text": lambda d: f"select work_id, {d.listagg('heading', ',', 'seq, id')} as headings from segment group by work_id",
     "f48_exploded_parts": lambda d: f"select id, position, word as part from ({d.tokens('(select id, scope_id from (select event_id as id, scope_id from review_lock) x) y', 'id', 'scope_id', '[.]')}) t",

@@ -13,9 +13,7 @@ OUT = {
     "S16": "parser of one printed work",
     "S17": "parsers of single printed works",
     "S18": "remote acquisition; no network",
-    "C28": "web platform",
     "C32": "needs an external model service; its selections are J17 and A13, its checks C19",
-    "F54": "web platform",
     "T4": "needs page images of one work",
     "T5": "needs page images of one work",
     "T9": "numbering repair of one work; the alignment it rests on is C24",

@@ -7,10 +7,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import alignment, corpus, intake, more, reads, state, text
+from ..operators import alignment, corpus, intake, measures, more, reads, state, text
 from .catalog import Query
 
-MODULES = (reads, state, corpus, text, alignment, intake, more)
+MODULES = (reads, state, corpus, text, alignment, intake, more, measures)
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
