@@ -24,7 +24,7 @@ from .base import new_path, parts, table
 
 CAPACITY = 4096
 END = 2
-TOKEN_CHUNK = 1 << 22
+TOKEN_CHUNK = 1 << 21
 CACHE = 1 << 20
 #: Tokens that are packed together by best fit; bounds a task's memory, whatever its input.
 BLOCK_TOKENS = 1 << 22
