@@ -13,7 +13,7 @@ from .catalog import Query
 MODULES = (reads, state, corpus, text, alignment, intake, more, measures)
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Python workers live long and are many: memory that a task needed goes back to the system when it ends.
-WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "33554432"}
+WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "8388608", "MALLOC_TRIM_THRESHOLD_": "67108864"}
 
 
 def shipped(query: Query) -> Query:
