@@ -18,9 +18,8 @@ Rows that share an id but not a text are ordered by a hash of the text.  A null,
 empty or blank text has no lines, an empty table no rows.  A very long text is read
 on its own.  Other columns, whatever their names, pass through unchanged.
 
-A line that a large part of all lines copy is one node.  Nodes with more than one in
-HOT of all lines, HOT at most, are broadcast to where their lines lie; the lines of
-all others are joined by node, so no task holds a hot node or a hot component.
+A component that holds more than one in HOT of all lines (there are fewer than HOT of
+them) is dealt to SALTS tasks, where its lines meet the one that stays.
 """
 
 from __future__ import annotations
@@ -37,10 +36,7 @@ from .base import discard, new_path, parts, store, table
 
 CHARS, PERCENT = 8, 80
 BANDS, ROWS = 14, 4
-#: A node that holds more than one in HOT of all lines is hot; there are fewer than HOT of them.
-HOT = 1000
-#: Nodes that a task remembers, so that equal lines are hashed and sent once.
-MET = 1 << 20
+HOT, SALTS = 1000, 64
 #: Parts of the key space; what a task holds of the keys is its parts' share.
 PARTS = 1024
 _TURNS = K.permutations(BANDS * ROWS, 9)
@@ -62,49 +58,41 @@ def line_offsets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _read(batches):
     """A row per line with a word, and rows of packed (band key, node) records, one per part."""
     none = lambda n, kind: pa.nulls(n, kind)
-    met = np.zeros(0, np.int64)  # nodes whose keys this task has sent
     for batch in batches:
         buf, off = K.buffer_of(batch.column(2))
         keys, nodes = [], []
-        if len(met) > MET:
-            met = met[:0]
         for i, j in K.chunks(off):
             part = K.lower_ascii(buf[off[i] : off[j]])
             lines, row, number = line_offsets(part, off[i : j + 1] - off[i])
             begin, end = K.trimmed(part, lines)
-            filled = end > begin
-            begin, end, row, number = begin[filled], end[filled], row[filled], number[filled]
             roll = K.Rolling(K.byte_values(part))
-            node = roll.ranges(begin, end).view(np.int64)
-            chars = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
-            chars = chars[end] - chars[begin]
+            x, n = K.char_shingles(part, begin, end, CHARS, roll)
+            filled = n > 0  # a line without words has no shingles
+            n, row, number = n[filled], row[filled], number[filled]
+            node = roll.ranges(begin[filled], end[filled]).view(np.int64)
             at = pa.array(row + i)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(["line"] * len(node), pa.string()),
-                    none(len(node), pa.int32()),
-                    none(len(node), pa.binary()),
+                    pa.array(["line"] * len(n), pa.string()),
+                    none(len(n), pa.int32()),
+                    none(len(n), pa.binary()),
                     pa.array(node),
                     batch.column(0).take(at),
                     batch.column(1).take(at),
                     pa.array(number.astype(np.int32)),
-                    pa.array(np.maximum(chars - CHARS + 1, 1).astype(np.int32)),
+                    pa.array(n.astype(np.int32)),
                 ],
                 ["kind", "part", "records", "node", "doc_id", "text_key", "line", "n_shingles"],
             )
-            _, once = np.unique(node, return_index=True)
-            once = np.sort(once[~np.isin(node[once], met)])
-            x, n = K.char_shingles(part, begin[once], end[once], CHARS, roll)
             low = K.minhash(x, n, _TURNS).reshape(-1, BANDS, ROWS).astype(np.uint64)
             key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), low.shape[:2])
             for r in range(ROWS):
                 key = K.mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, :, r])
             keys.append(key)
-            nodes.append(node[once])
+            nodes.append(node)
         if not keys:
             continue
         node, once = np.unique(np.concatenate(nodes), return_index=True)
-        met = np.union1d(met, node)
         key, node = np.concatenate(keys)[once].reshape(-1), np.repeat(node, BANDS)
         to = (key >> np.uint64(32)) % np.uint64(PARTS)
         order = np.argsort(to, kind="stable")
@@ -173,18 +161,17 @@ def judged(docs: DataFrame) -> DataFrame:
 
     found = L.components(alive, texts_of, L.char_shingles(CHARS), PERCENT, counted=False)
     discard(alive)
-    # A line that is alone in its node and its component stays and is joined with nothing more.
-    node = lines.groupBy("node").agg(F.count("*").alias("n")).join(found, "node", "left").where("n > 1 or component is not null")
-    node = store(node.withColumn("component", F.coalesce("component", "node")), "lines-node")
-    hot = lambda df: F.broadcast(df.where(F.col("n") * HOT > total).drop("n"))  # noqa: E731  fewer than HOT rows
-    total = lines.count()
-    many = lines.join(hot(node), "node", "left_anti").join(node.hint("merge"), "node", "left_semi").unionByName(lines.join(hot(node).select("node"), "node", "left_semi"))
-    label = many.groupBy("node").agg(F.min(name).alias("at")).join(node, "node")
-    first = label.groupBy("component").agg(F.min("at").alias("first"))
-    label = store(label.join(first, "component").select("node", "n", "first"), "lines-first")
-    discard(node)
-    rest = lines.join(hot(label), "node", "left_anti").join(label.drop("n").hint("merge"), "node", "left").withColumn("first", F.coalesce("first", name))
-    return lines.join(hot(label), "node").unionByName(rest).drop("node")
+    member = lines.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
+    # A line that is alone in its component stays, and is joined with nothing.
+    first = member.groupBy("component").agg(F.min(name).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = store(first, "lines-first")
+    is_hot = F.col("n") * HOT > lines.count()  # fewer than HOT components
+    hot = F.broadcast(first.where(is_hot).select("component", F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "line"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    salts = F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    dealt = member.join(hot, "component", "left").withColumn("salt", salt).drop("hot")
+    out = dealt.join(first.select("component", "first", F.explode(salts).alias("salt")), ["component", "salt"], "left")
+    return out.withColumn("first", F.coalesce("first", name)).drop("component", "salt")
 
 
 def _stays() -> Column:
