@@ -154,17 +154,21 @@ def char_shingles(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, k: int, r
 
 def minhash(x: np.ndarray, counts: np.ndarray, turns: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """uint32 minima per row (rows without elements: all ones) for each (multiplier, offset)."""
-    a, b = turns
+    a, _ = turns
     out = np.full((len(counts), len(a)), 0xFFFFFFFF, np.uint32)
     live = np.flatnonzero(counts)
     if len(live):
-        x32 = (x >> np.uint64(32)).astype(np.uint32)
+        x32 = (x >> np.uint64(32)).astype(np.uint32) | np.uint32(1)  # no multiplier moves 0
         at = (np.cumsum(counts) - counts)[live]
+        # x is a hash already, so multiplying by an odd number is permutation enough
         turned = np.empty_like(x32)
+        every = len(live) == len(counts)
         for f in range(len(a)):
             np.multiply(x32, a[f], out=turned)
-            np.add(turned, b[f], out=turned)
-            out[live, f] = np.minimum.reduceat(turned, at)
+            if every:
+                np.minimum.reduceat(turned, at, out=out[:, f])
+            else:
+                out[live, f] = np.minimum.reduceat(turned, at)
     return out
 
 
