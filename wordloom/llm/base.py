@@ -11,7 +11,7 @@ from ..plans.storage import bounded, discard, fresh, new_path, parts, shared_dir
 __all__ = ["BATCH", "CONTROL", "bounded", "connected_components", "discard", "fresh", "new_path", "parts", "shared_dir", "store", "table", "tuned"]
 
 #: Rows and bytes of text that an Arrow batch holds; what a Python worker holds at once follows from them.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def tuned(spark: SparkSession) -> SparkSession:

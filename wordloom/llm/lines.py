@@ -25,7 +25,6 @@ them) is dealt to SALTS tasks, where its lines meet the one that stays.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -184,10 +183,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "line", "n_shingles", _stays().alias("kept"), F.col("first.doc_id").alias("kept_doc_id"), F.col("first.line").alias("kept_line"))
 
 
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
+def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
     """Texts without the lines of the numbers given; null where there are none."""
-    rows = ((None, ()) if x is None else (x.split("\n"), set(g.tolist())) for x, g in zip(text, gone, strict=True))
-    return pd.Series([None if lines is None else "\n".join([line for k, line in enumerate(lines) if k not in drop]) for lines, drop in rows], dtype=object)
+    out: list[str | None] = []
+    for x, drop in zip(text.to_pylist(), gone.to_pylist(), strict=True):
+        drop = set(drop or ())
+        out.append(None if x is None else "\n".join([line for k, line in enumerate(x.split("\n")) if k not in drop]))
+    return pa.array(out, pa.string())
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -196,7 +198,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     gone = judged(docs).where(~_stays()).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("gone"))
     own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"))
     both = own.join(gone, (F.col("k") == F.col("text_key")) & F.col("d").eqNullSafe(F.col("doc_id")), "left")
-    cut = F.pandas_udf(_without, "string")(F.when(F.col("gone").isNotNull(), F.col("row.text")), F.col("gone"))
+    cut = F.arrow_udf(_without, "string")(F.when(F.col("gone").isNotNull(), F.col("row.text")), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(cut)
     both = both.select("row", "gone", text.alias("left")).where(F.col("gone").isNull() | F.col("left").rlike("[^ \\t-\\r]"))
     return both.select(*[F.col("left").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
