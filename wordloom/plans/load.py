@@ -2,31 +2,20 @@
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import alignment, corpus, intake, measures, more, reads, state, text
 from .catalog import Query
+from .workers import equip
 
 MODULES = (reads, state, corpus, text, alignment, intake, more, measures)
-ROOT = str(Path(__file__).resolve().parents[2])
-#: Python workers live long and are many: memory that a task needed goes back to the system when it ends.
-WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "8388608", "MALLOC_TRIM_THRESHOLD_": "67108864"}
 
 
 def shipped(query: Query) -> Query:
-    """The query, with this package on the import path of the Python workers, wherever the driver
-    was started, and with WORKERS in their environment."""
+    """The query, with workers that can import this package (see workers)."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        environment = spark.sparkContext.environment
-        known = environment.get("PYTHONPATH", "")
-        if ROOT not in known.split(os.pathsep):
-            environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
-        for key, value in WORKERS.items():
-            environment.setdefault(key, value)
+        equip(spark)
         return query(spark, sf_dir)
 
     run.__doc__, run.__name__ = query.__doc__, getattr(query, "__name__", "run")
