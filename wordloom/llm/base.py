@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.graph import CONTROL, connected_components
 from ..plans import storage
 from ..plans.storage import bounded, discard, fresh, new_path, parts, shared_dir
+from ..plans.workers import equip
 
-__all__ = ["BATCH", "CONTROL", "bounded", "connected_components", "discard", "fresh", "new_path", "parts", "shared_dir", "store", "table", "tuned"]
+__all__ = ["BATCH", "CONTROL", "bounded", "connected_components", "discard", "fresh", "new_path", "parts", "shared_dir", "staged", "store", "table", "tuned"]
 
 #: Rows and bytes of text that an Arrow batch holds; what a Python worker holds at once follows from them.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
@@ -26,5 +30,16 @@ def store(df: DataFrame, name: str, scanned: bool = False, files: int | None = N
     return storage.store(df, name, scanned, files)
 
 
+def staged(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A pipeline stage that finds batches and workers as queries do, by whomever it is called."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        equip(spark)
+        return stage(tuned(spark), docs, sf_dir)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")

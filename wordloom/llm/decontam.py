@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import bounded, store, table
+from .base import bounded, staged, store, table
 
 K, PERCENT = 5, 80
 BITS, RADIUS = 128, 32
@@ -166,6 +166,7 @@ from (select *, row_number() over (partition by doc_id, item_id order by cast(sh
 """
 
 
+@staged
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated documents go, each for its own text; the others stay with all their columns."""
     found = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "text_key").distinct()

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from . import linking as L
-from .base import discard, new_path, parts, store, table
+from .base import discard, new_path, parts, staged, store, table
 
 CHARS, PERCENT = 8, 80
 BANDS, ROWS = 14, 4
@@ -204,6 +204,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     return both.select(*[F.col("left").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
+@staged
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: lines that copy an earlier one go, and documents that nothing is left of; n_chars follows the text."""
     out = dedup(docs)

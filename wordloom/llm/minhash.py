@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from . import linking as L
-from .base import discard, store, table
+from .base import discard, staged, store, table
 
 
 def _signatures(shingler: L.Shingler):
@@ -96,6 +96,7 @@ from documents d left join n on n.doc_id = d.doc_id left join low on low.node =
 """
 
 
+@staged
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays (that of the smallest id, null
     last), with all its columns. A row goes only for its own text: of rows that share an

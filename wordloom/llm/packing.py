@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .base import store, table
+from .base import staged, store, table
 from .sharding import numbered
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -122,6 +122,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+@staged
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: the sequences that the documents are packed into."""
     return pack(docs)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .base import store, table
+from .base import staged, store, table
 
 RULES = ("symbols", "letters", "marked_words", "word_length", "capitals", "exclamations", "repeated_words", "repeated_lines", "variety", "sentences")
 #: Pseudo-counts, in documents: (right, wrong) votes of a rule on good and on bad
@@ -208,6 +208,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"))
 
 
+@staged
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that fail the base test or are more likely bad than
     good go; the others stay with all their columns.  Each text is measured once: rows
