@@ -151,9 +151,11 @@ def judged(docs: DataFrame) -> DataFrame:
     name = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key", "line")
 
     def texts_of(met: DataFrame) -> DataFrame:
-        where = lines.join(met.withColumnRenamed("doc", "node").hint("merge"), "node", "left_semi").groupBy("node").agg(F.min(name).alias("at"))
-        at = F.struct((F.col("at.line") + 1).alias("n"), "node")
-        want = where.groupBy(F.col("at.doc_id").alias("d"), F.col("at.text_key").alias("k")).agg(F.collect_list(at).alias("at"))
+        # Any line of a node has its text; three firsts are of one row. Each task sends a node once, however common its line.
+        one = lines.groupBy("node").agg(F.first("doc_id").alias("d"), F.first("text_key").alias("k"), F.first("line").alias("line"))
+        where = one.join(met.withColumnRenamed("doc", "node").hint("merge"), "node")
+        at = F.struct((F.col("line") + 1).alias("n"), "node")
+        want = where.groupBy("d", "k").agg(F.collect_list(at).alias("at"))
         both = rows.join(want.hint("merge"), (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
         each = both.select(F.split("text", "\n").alias("lines"), F.explode("at").alias("at"))
         return each.select(F.col("at.node").alias("doc"), F.element_at("lines", F.col("at.n")).alias("text"))
