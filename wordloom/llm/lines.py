@@ -54,6 +54,7 @@ def line_offsets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.append(pos, len(buf)), row, np.arange(len(row)) - first[row]
 
 
+@K.tidy
 def _read(batches):
     """A row per line with a word, and rows of packed (band key, node) records, one per part."""
     none = lambda n, kind: pa.nulls(n, kind)

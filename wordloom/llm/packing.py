@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernel as K
 from . import tokens as T
 from .base import staged, store, table
 from .sharding import numbered
@@ -80,6 +81,7 @@ def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
 def pieces(docs: DataFrame, capacity: int, vocab: str | None = None) -> DataFrame:
     path = vocab or T.vocabulary()
 
+    @K.tidy
     def run(batches):
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
         for batch in batches:

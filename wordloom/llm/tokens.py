@@ -220,6 +220,7 @@ def _pack(capacity: int, path: str):
             names,
         )
 
+    @K.tidy
     def run(batches):
         from pyspark import TaskContext
 
