@@ -479,6 +479,32 @@ def test_near_dedup_stage_against_brute_force(spark):
     assert {r["doc_id"] for r in minhash.near_dedup(spark, docs, SF).collect()} == {i for i in sets if want.get(i, i) == i}
 
 
+@pytest.fixture
+def broadcasting(spark):
+    """A session with Spark's own limit of broadcasts, whatever ran before."""
+    name, own = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(name, "10m")
+    yield spark
+    spark.conf.set(name, own)
+
+
+def test_ids_that_compress_well_are_not_broadcast(broadcasting):
+    spark = broadcasting
+    few = base.store(spark.range(0, 1_000_000, 1, 4).withColumnRenamed("id", "doc"), "ids", scanned=True)
+    many = base.store(spark.range(0, 3_000_000, 1, 4).withColumnRenamed("id", "doc"), "more-ids", scanned=True)
+    joined = many.join(few, "doc")
+    assert joined.count() == 1_000_000 and "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_to_verify_are_not_broadcast(broadcasting):
+    """Near copies of a text are a small file, but as large as they are for the driver."""
+    spark = broadcasting
+    texts = base.store(spark.createDataFrame([(k, f"{prose(400, 300)} {k}") for k in range(400)], "doc long, text string"), "copies")
+    pairs = base.store(spark.range(1, 400).selectExpr("id - 1 as a", "id as b"), "pairs")
+    out = linking.verified(pairs, texts, linking.word_shingles(5), 80)
+    assert out.count() == 399 and "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 # 5 --- substrings
 
 

@@ -104,7 +104,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingler: Shingler, percent: in
     a = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
     kind = pairs.schema["a"].dataType.simpleString()
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+    both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
