@@ -87,6 +87,11 @@ def replace_children(old: DataFrame, parents: DataFrame, new: DataFrame, keys: K
     return old.join(parents.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
 
 
+def replace_rows(old: DataFrame, gone: Column, new: DataFrame) -> DataFrame:
+    """Rows of old for which `gone` is false, and every row of new, whatever keys the two share."""
+    return old.where(~gone).unionByName(new)
+
+
 def delete_where_exists(old: DataFrame, doomed: DataFrame, keys: Keys, keep: DataFrame | None = None) -> DataFrame:
     """Deletes rows whose key is in doomed and not in keep."""
     gone = doomed.select(*keys).distinct()
@@ -308,7 +313,7 @@ _register(
 _register(
     "m27_replace_import",
     "select id, kind, target from (select id, kind, target from rules where id % 3 <> 0 union all select id + 1000000, kind, target from rules where id % 50 = 0) t",
-    lambda s, p: insert_absent(run_sql(s, p, "select id, kind, target from rules").join(run_sql(s, p, "select id from rules where id % 3 <> 0"), "id", "left_semi"), run_sql(s, p, "select id + 1000000 as id, kind, target from rules where id % 50 = 0"), ["id"]),
+    lambda s, p: replace_rows(run_sql(s, p, "select id, kind, target from rules"), F.col("id") % 3 == 0, run_sql(s, p, "select id + 1000000 as id, kind, target from rules where id % 50 = 0")),
 )
 _register(
     "m30_shift_verse_boundary",
