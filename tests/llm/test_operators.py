@@ -329,6 +329,30 @@ def test_chunk_ids_survive_a_full_cache(monkeypatch):
             assert got.tolist() == want and n.tolist() == [len(want)]
 
 
+def test_plain_chunks_get_the_ids_of_the_tokenizer_without_its_steps(monkeypatch):
+    import random
+
+    cached = tokens.ChunkIds(tokens.vocabulary())
+    rng, plain = random.Random(8), [chr(x) for x in range(0x21, 0x7F)] + [chr(x) for x in range(0xC0, 0x100)]
+    texts = ["".join(rng.choices(plain, k=rng.randint(1, 9))) for _ in range(3000)] + plain + ["Straße,", "ÀÉß.", "it's", "e\u0301", "x<|endoftext|>y", "½²ªµ", "\u0130ſ"]
+    want = [e.ids for e in cached.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    calls = []
+    whole = cached.tokenizer.encode_batch_fast
+    cached.tokenizer = type("T", (), {"encode_batch_fast": lambda self, x, **k: calls.extend(x) or whole(x, **k)})()
+    ids, begin, n = cached._ids(texts)
+    assert [ids[a : a + k] for a, k in zip(begin.tolist(), n.tolist(), strict=True)] == want
+    assert calls == [x for x in texts if not tokens.PLAIN.fullmatch(x)] and len(calls) < len(texts) / 2
+
+
+def test_tokenizers_of_other_rules_take_their_whole_way():
+    from tokenizers import normalizers
+
+    other = tokens.ChunkIds(tokens.vocabulary())
+    assert other.plain
+    other.tokenizer.normalizer = normalizers.NFC()
+    assert not other._has_rules()
+
+
 def test_wide_vocabularies_get_wide_ids(monkeypatch):
     assert tokens.id_type(tokens.vocabulary()) == np.dtype("<u2")
 

@@ -5,14 +5,20 @@ ids are those of its white-space separated chunks, one after another; strings of
 special tokens are found within chunks, as the tokenizer finds them in a text.  Chunks
 repeat far more often than texts do: each worker keeps the ids of the chunks it
 has met and hands only new ones to the tokenizer.  A chunk is known by a 64-bit hash;
-its length and first eight bytes are compared besides.
+its length and first eight bytes are compared besides.  A new chunk of plain characters
+(PLAIN) is lower-cased and cut into words as the tokenizer's own normalizer and
+pre-tokenizer do, and only words that are new go through its model; every other chunk,
+and any tokenizer of other rules, takes the tokenizer's whole way.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +34,21 @@ TOKEN_CHUNK = 1 << 21
 CACHE = 1 << 20
 #: Tokens that are packed together by best fit; bounds a task's memory, whatever its input.
 BLOCK_TOKENS = 1 << 22
+#: Characters that no normalizer step but lower-casing changes, and that no special token and no contraction of the
+#: vocabulary is made of: printable ASCII without ' and <, and the letters of Latin-1.
+PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
+_CUT = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: The rules for which PLAIN and _CUT hold.
+_RULES = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
 
 
 def vocabulary() -> str:
@@ -44,6 +65,10 @@ def _heads(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return K.mix((first & mask[size]) + (e - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+#: The bytes 0x80 to 0xA0 and 0xAD as byte-level vocabularies write them (after 33 others that no plain character has); the rest stand for themselves.
+_BYTES = {b: 0x100 + 34 + k for k, b in enumerate([*range(0x80, 0xA1), 0xAD])}
+
+
 class ChunkIds:
     """Ids of white-space separated chunks, by their hash; `heads` tells apart what a hash may not."""
 
@@ -52,23 +77,56 @@ class ChunkIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.plain = self._has_rules()
         self.clear()
 
+    def _has_rules(self) -> bool:
+        """Whether chunks of plain characters may be cut here: the tokenizer's steps are _RULES, and no added token is plain."""
+        own = tuple(json.loads(step.__getstate__()) if step else None for step in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        return own == _RULES and not any(PLAIN.fullmatch(x.content) for x in added) and not self.tokenizer.truncation and not self.tokenizer.padding
+
     def clear(self) -> None:
+        self.words: dict[str, tuple[int, ...]] = {}
         self.keys, self.heads, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
     def _learn(self, keys: np.ndarray, heads: np.ndarray, texts: list[str]) -> None:
         """keys: ascending and new."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for y in ids for x in y), np.uint32, int(n.sum()))
-        at = len(self.flat) + np.cumsum(n) - n
+        ids, begin, n = self._ids(texts)
+        at, flat = len(self.flat) + begin, np.array(ids, np.uint32)
         where = np.searchsorted(self.keys, keys)
         self.keys, self.heads = np.insert(self.keys, where, keys), np.insert(self.heads, where, heads)
         self.at, self.n = np.insert(self.at, where, at), np.insert(self.n, where, n)
         self.flat = np.concatenate((self.flat, flat))
 
+    def _ids(self, texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The ids of all chunks, where those of each begin, and their number."""
+        words, flat, other = self.words, [], []
+        begin, end = [0] * len(texts), [0] * len(texts)
+        for i, text in enumerate(texts):
+            if not self.plain or not PLAIN.fullmatch(text):
+                other.append(i)
+                continue
+            begin[i] = len(flat)
+            for word in _CUT.findall(text.lower()):
+                ids = words.get(word)
+                if ids is None:
+                    ids = words[word] = self._word(word)
+                flat += ids
+            end[i] = len(flat)
+        for i, e in zip(other, self.tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False), strict=True):
+            begin[i] = len(flat)
+            flat += e.ids
+            end[i] = len(flat)
+        start = np.array(begin, np.int64)
+        return flat, start, np.array(end, np.int64) - start
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        """The ids of one word of plain characters: the model reads bytes as characters, a printable one as itself."""
+        return tuple([x.id for x in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES))])
+
     def _whole(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """`encode` without chunks."""
         raw = buf.tobytes()
@@ -80,7 +138,7 @@ class ChunkIds:
         s, e, rows = K.words(buf, off)
         heads = _heads(buf, s, e)
         keys, first, inverse = np.unique(K.word_hashes(buf, s, e), return_index=True, return_inverse=True)
-        if len(self.keys) > CACHE:
+        if max(len(self.keys), len(self.words)) > CACHE:
             self.clear()
         at = np.searchsorted(self.keys, keys)
         new = np.ones(len(keys), bool)
@@ -120,6 +178,7 @@ def encoded(column: pa.Array, path: str) -> Iterator[np.ndarray]:
             yield ids[a:b]
 
 
+@cache
 def id_type(path: str) -> np.dtype:
     """The narrowest unsigned little-endian type that holds every id of the vocabulary."""
     if path not in _ENCODERS:
