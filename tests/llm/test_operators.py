@@ -520,6 +520,14 @@ def test_ids_that_compress_well_are_not_broadcast(broadcasting):
     assert joined.count() == 1_000_000 and "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_stage_called_alone_bounds_broadcasts(broadcasting):
+    """As the pipeline's stages are called, one by one, in a session with Spark's own limit."""
+    docs = broadcasting.createDataFrame([(1, prose(401, 60)), (2, prose(401, 60)), (3, prose(402, 60))], "doc_id long, text string")
+    out = minhash.near_dedup(broadcasting, docs, "")
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3]
+    assert broadcasting._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold() <= 256 << 10
+
+
 def test_texts_to_verify_are_not_broadcast(broadcasting):
     """Near copies of a text are a small file, but as large as they are for the driver."""
     spark = broadcasting
