@@ -329,6 +329,16 @@ def test_chunk_ids_survive_a_full_cache(monkeypatch):
             assert got.tolist() == want and n.tolist() == [len(want)]
 
 
+def test_few_words_are_kept_as_objects(monkeypatch):
+    monkeypatch.setattr(tokens, "WORDS", 50)
+    own = tokens.ChunkIds(tokens.vocabulary())
+    for k in range(8):
+        text = prose(700 + k, 40).encode()
+        ids, _ = own.encode(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert ids.tolist() == [*own.tokenizer.encode(text.decode(), add_special_tokens=False).ids, tokens.END]
+    assert len(own.words) < 50 + 3 * 40 < len(own.keys)
+
+
 def test_plain_chunks_get_the_ids_of_the_tokenizer_without_its_steps(monkeypatch):
     import random
 

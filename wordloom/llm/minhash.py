@@ -20,6 +20,7 @@ from .base import discard, staged, store, table
 
 
 def _signatures(shingler: L.Shingler):
+    @K.tidy
     def run(batches):
         for batch in batches:
             buf, off = K.buffer_of(batch.column(2))

@@ -182,6 +182,7 @@ def accuracies(docs: DataFrame) -> DataFrame:
 def features(docs: DataFrame) -> DataFrame:
     of = _features(1)
 
+    @K.tidy
     def run(batches):
         names = ["doc_id", *COUNTS, "pattern"]
         for batch in batches:
@@ -217,6 +218,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     the module's text."""
     of = _features(docs.columns.index("text"))
 
+    @K.tidy
     def run(batches):
         for batch in batches:
             found = [pa.array(x.astype(np.int64)) for x in of(batch)]

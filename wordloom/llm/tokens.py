@@ -32,6 +32,8 @@ CAPACITY = 4096
 END = 2
 TOKEN_CHUNK = 1 << 21
 CACHE = 1 << 20
+#: Words whose ids a worker keeps as objects, some 300 bytes each: workers wait with them while other stages run.
+WORDS = 1 << 15
 #: Tokens that are packed together by best fit; bounds a task's memory, whatever its input.
 BLOCK_TOKENS = 1 << 22
 #: Characters that no normalizer step but lower-casing changes, and that no special token and no contraction of the
@@ -103,6 +105,8 @@ class ChunkIds:
 
     def _ids(self, texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
         """The ids of all chunks, where those of each begin, and their number."""
+        if len(self.words) > WORDS:  # chunks that are known keep their ids
+            self.words = {}
         words, flat, other = self.words, [], []
         begin, end = [0] * len(texts), [0] * len(texts)
         for i, text in enumerate(texts):
@@ -138,7 +142,7 @@ class ChunkIds:
         s, e, rows = K.words(buf, off)
         heads = _heads(buf, s, e)
         keys, first, inverse = np.unique(K.word_hashes(buf, s, e), return_index=True, return_inverse=True)
-        if max(len(self.keys), len(self.words)) > CACHE:
+        if len(self.keys) > CACHE:
             self.clear()
         at = np.searchsorted(self.keys, keys)
         new = np.ones(len(keys), bool)
