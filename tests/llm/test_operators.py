@@ -61,6 +61,20 @@ def test_kernel_words_and_hashes():
     assert h[0] == h[2] == h[5] and h[1] == h[3] and h[0] != h[1] != h[4]
 
 
+def test_character_shingles_and_sets_of_them():
+    for text in ("", "a", "ab cd", "één ël", "  aé b  ", "abcdefgh", "the quick brown fox\njumps", "αβγδεζηθικλ mn"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        begin, end = kernel.trimmed(raw, np.array([0, len(raw)]))
+        x, n = kernel.char_shingles(raw, begin, end, 8)
+        own = text.strip()
+        wanted = [own[i : i + 8] for i in range(max(len(own) - 7, min(len(own), 1)))]
+        plain = [kernel.Rolling(kernel.byte_values(np.frombuffer(w.encode(), np.uint8))).ranges(np.array([0]), np.array([len(w.encode())]))[0] for w in wanted]
+        assert n.tolist() == [len(wanted)] and x.tolist() == plain
+    for size in (0, 1, 2, 300):
+        x = np.random.default_rng(size).integers(0, 100, size).astype(np.uint64)
+        assert kernel.distinct(x).tolist() == sorted(set(x.tolist()))
+
+
 def test_connected_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1100)]

@@ -95,7 +95,7 @@ def _read(batches):
         node, once = np.unique(np.concatenate(nodes), return_index=True)
         key, node = np.concatenate(keys)[once].reshape(-1), np.repeat(node, BANDS)
         to = (key >> np.uint64(32)) % np.uint64(PARTS)
-        order = np.argsort(to, kind="stable")
+        order = np.argsort(to.astype(np.uint16), kind="stable")  # PARTS are few: a radix sort
         records = np.zeros(len(key), _RECORD)
         records["key"], records["node"] = key[order].astype(np.uint32), node[order]
         edge = np.searchsorted(to[order], np.arange(PARTS + 1, dtype=np.uint64))
@@ -108,6 +108,7 @@ def _read(batches):
         )
 
 
+@K.tidy
 def _shared(batches):
     """(key, node, mates) of the keys that several nodes have; `part` makes a 32-bit key unique enough."""
     held: dict[int, list[bytes]] = {}

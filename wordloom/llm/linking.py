@@ -70,7 +70,7 @@ def sets_of(column: pa.Array, shingler: Shingler) -> Iterator[np.ndarray]:
         x, n = shingler(buf[off[i] : off[j]], off[i : j + 1] - off[i])
         ends = np.cumsum(n)
         for a, b in zip(ends - n, ends, strict=True):
-            yield np.unique(x[a:b])
+            yield K.distinct(x[a:b])
 
 
 def signature(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[int], list[bytes]]:
@@ -80,7 +80,7 @@ def signature(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[int], list
     for h in range(HALF):
         key = K.mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, :, h] + np.uint64(h + 1))
     ends = np.cumsum(n)
-    own = [np.unique(x[a:b]) for a, b in zip(ends - n, ends, strict=True)]
+    own = [K.distinct(x[a:b]) for a, b in zip(ends - n, ends, strict=True)]
     return (key >> np.uint64(32)).astype(np.uint32).view(np.int32), [len(s) for s in own], [hashlib.blake2b(s, digest_size=16).digest() for s in own]
 
 
@@ -92,6 +92,7 @@ def half_lists(halves: list[np.ndarray]) -> pa.Array:
 def verified(pairs: DataFrame, texts: DataFrame, shingler: Shingler, percent: int) -> DataFrame:
     """The (a, b) of `pairs` whose whole shingle sets reach the threshold. texts: (doc, text)."""
 
+    @K.tidy
     def run(batches):
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
@@ -122,6 +123,7 @@ def _bounds(docs: DataFrame, named: DataFrame, shingler: Shingler, counted: bool
     turns = K.permutations(SKETCH, 5)
     kind = docs.schema["doc"].dataType.simpleString()
 
+    @K.tidy
     def sketches(batches):
         for batch in batches:
             buf, off = K.buffer_of(batch.column(1))
@@ -131,9 +133,10 @@ def _bounds(docs: DataFrame, named: DataFrame, shingler: Shingler, counted: bool
                 longs = np.ascontiguousarray(low[:, 0::2] | low[:, 1::2] << np.uint8(4)).view(np.int64)
                 flat = pa.ListArray.from_arrays(np.arange(j - i + 1, dtype=np.int32) * longs.shape[1], pa.array(longs.reshape(-1)))
                 ends = np.cumsum(n)
-                size = [len(np.unique(x[a:b])) for a, b in zip(ends - n, ends, strict=True)]
+                size = [len(K.distinct(x[a:b])) for a, b in zip(ends - n, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), flat], ["doc", "n", "sketch"])
 
+    @K.tidy
     def rows(batches):
         for batch in batches:
             for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
