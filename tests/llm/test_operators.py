@@ -179,6 +179,16 @@ def test_passage_of_common_seeds(spark):
     assert set(got) == {5000, 5001} and got[5001]["matched"] == 60
 
 
+def test_edited_passage_of_common_seeds(spark):
+    """No 40 equal words, and whatever two seeds of the passage say stands in many documents before and between."""
+    w = prose(86, 60).split()
+    noise = [(at + 100 * g + k, f"{prose(20000 + at + 100 * g + k, 12)} {' '.join(w[max(12 * g, 0) : 12 * g + 24])} {prose(30000 + at + 100 * g + k, 12)}") for at in (100, 2100) for g in range(-1, 5) for k in range(30)]
+    edited = [f"x{i}" if i in (11, 23, 35, 47) else v for i, v in enumerate(w)]
+    rows = [*noise, (1000, f"{prose(87, 30)} {' '.join(w)} {prose(88, 30)}"), (5000, f"{prose(89, 20)} {' '.join(edited)} {prose(90, 20)}")]
+    got = [r for r in chaining.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()]
+    assert [(r["doc_id"], r["source_doc_id"], r["start"], r["end"], r["matched"]) for r in got] == [(5000, 1000, 20, 80, 56)]
+
+
 def test_common_seeds_are_settled_where_they_are_read():
     r = np.zeros(5000, chaining._SEED)
     r["hash"], r["d"], r["later"], r["run"] = 7, np.arange(5000), 3, np.where(np.arange(5000) % 2, 5, 0)
